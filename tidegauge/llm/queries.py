@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding, token_counts
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_sharding": sharding.op7_sharding,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {
