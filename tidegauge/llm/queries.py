@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, token_counts
+from . import exact_dedup, language_id, mixing, packing, sharding, token_counts
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op7_sharding": sharding.op7_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
