@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workers import ready
 from . import bloom
 from .shared import durable, text_array
 
@@ -127,7 +128,7 @@ def _with_flag(frame: DataFrame, told) -> DataFrame:
 
 def exact_dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
+    spark = ready(docs)
     table = durable(with_digest(docs, [doc_id], text).withColumn("uid", F.monotonically_increasing_id()).select(F.col("c0").alias("doc_id"), "uid", "__sha"), "digests")
     told = spark.sparkContext.broadcast(repeated_filter(table.select("__sha"), table.count(), max_filter_bytes))
     marked = _with_flag(table, told)
@@ -140,7 +141,7 @@ def exact_dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; only possible repeats are shuffled, merged on the way by partial aggregation."""
-    spark = docs.sparkSession
+    spark = ready(docs)
     names = docs.columns
     hashed = durable(with_digest(docs, [], text), "digests")
     told = spark.sparkContext.broadcast(repeated_filter(hashed, hashed.count(), max_filter_bytes))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ready
 from .shared import pick, text_array
 
 #: First code points of ranges and the script there.
@@ -154,7 +155,7 @@ class Model:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """A model from documents outside the held-out third."""
-    spark = docs.sparkSession
+    spark = ready(docs)
     rows = docs.select(*pick(docs, doc_id, text, lang)).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, train_docs / r.n))]) if sizes else F.lit(None)
@@ -277,7 +278,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     """The columns to keep with lang_pred, score and, if asked for, spans (in words)."""
     import uuid
 
-    told = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES x GRAMS at most
+    told = ready(docs).sparkContext.broadcast(model)  # MAX_LANGUAGES x GRAMS at most
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
     return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text")).mapInArrow(_predicted(told, uuid.uuid4().hex, spans), schema)

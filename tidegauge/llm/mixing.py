@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ready
 from .shared import durable, pick, text_array, word_counts
 
 #: The weights that sources take in turn, and the most that a target may be of its source.
@@ -124,7 +125,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, source, h (hash of the row's id, source and text), size, source_size, target and copies of each row."""
-    spark = docs.sparkSession
+    spark = ready(docs)
     given = docs.select(*pick(docs, doc_id, source), F.xxhash64(F.lit(seed), *pick(docs, doc_id, source, text)), *pick(docs, text)).toDF("doc_id", "source", "h", "text")
     id_kind = docs.schema[doc_id].dataType.simpleString()
     sized = durable(given.mapInArrow(_sizes, f"doc_id {id_kind}, source string, h long, size long"), "sizes")

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ready
 from . import bloom
 from .components import components
 from .shared import IS_BREAK, durable, mix64, pick, random_table, text_array, text_buffer
@@ -337,7 +338,7 @@ def key_filter(keys: DataFrame, n: int, max_bytes: int = MAX_FILTER_BYTES) -> bl
 
 class _Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int):
-        self.width, self.spark = width, docs.sparkSession
+        self.width, self.spark = width, ready(docs)
         self.docs = docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text")
         hot = self.spark.sparkContext.broadcast(frequent_shingles(self.docs.select("text"), width))
         kind = docs.schema[doc_id].dataType.simpleString()

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import ready
 from .shared import durable, pick, text_array
 
 CAPACITY = 2048
@@ -126,7 +127,7 @@ def _pieces(told, capacity: int, with_ids: bool):
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit) of each piece. tokenizer: a file of the tokenizers library, read on the driver (its size is fixed)."""
     with open(tokenizer, "rb") as f:
-        told = docs.sparkSession.sparkContext.broadcast(f.read())
+        told = ready(docs).sparkContext.broadcast(f.read())
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text").mapInArrow(_pieces(told, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
@@ -226,7 +227,7 @@ def _placed(told):
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds sequence_id and offset to durable rows of pieces (doc_id, piece, start, length, ids_crc32)."""
-    spark = pieces.sparkSession
+    spark = ready(pieces)
     found = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in found:

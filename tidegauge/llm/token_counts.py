@@ -21,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..workers import ready
 from .shared import pick, text_array
 
 END = 256
@@ -151,7 +152,7 @@ def _counts(told, per_word: bool):
 
 def token_counts(docs: DataFrame, vocabulary: list[str], style: str = "end", doc_id: str = "doc_id", text: str = "text", per_word: bool = False) -> DataFrame:
     """doc_id, n_words and n_tokens of each row; with per_word also word_tokens, the pieces of each word in order. style: "end" or "continuation"."""
-    told = docs.sparkSession.sparkContext.broadcast((style, vocabulary, f"{style}:{len(vocabulary)}:{hash(tuple(vocabulary))}"))
+    told = ready(docs).sparkContext.broadcast((style, vocabulary, f"{style}:{len(vocabulary)}:{hash(tuple(vocabulary))}"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text").mapInArrow(_counts(told, per_word), f"doc_id {kind}, n_words long, n_tokens long" + ", word_tokens array<int>" * per_word)
 
