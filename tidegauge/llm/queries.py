@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality, sanitise, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_sharding": sharding.op7_sharding,
+    "op8_sanitise": sanitise.op8_sanitise,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_token_counts": token_counts.op10_token_counts,
 }
