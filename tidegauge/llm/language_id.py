@@ -17,6 +17,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -55,6 +56,8 @@ WORDS_HELD = 300_000
 CHUNK = 4 << 20
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
+#: A text with a smaller share of one language is rejected by identified().
+LEAST_SCORE = 0.4
 
 
 def script_of(letter: str) -> str:
@@ -251,13 +254,13 @@ def label_texts(texts: list[bytes], held: Scores, spans: bool) -> list[tuple[str
 _HELD: dict[str, Scores] = {}
 
 
-def _predicted(told, key: str, spans: bool):
+def _predicted(told, key: str, spans: bool, at: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _HELD:
             _HELD.clear()
             _HELD[key] = Scores(told.value)
         for batch in batches:
-            texts, found = text_array(batch.column(batch.num_columns - 1)).cast(pa.binary()), []
+            texts, found = text_array(batch.column(at)).cast(pa.binary()), []
             held, size = [], 0
             for x in texts:
                 held.append(x.as_py())
@@ -269,19 +272,25 @@ def _predicted(told, key: str, spans: bool):
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], "lang_pred", "score", *(["spans"] if spans else [])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *cols], names=[*batch.schema.names[:kept], "lang_pred", "score", *(["spans"] if spans else [])])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", spans: bool = False) -> DataFrame:
     """The columns to keep with lang_pred, score and, if asked for, spans (in words)."""
-    import uuid
-
     told = ready(docs).sparkContext.broadcast(model)  # MAX_LANGUAGES x GRAMS at most
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
-    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text")).mapInArrow(_predicted(told, uuid.uuid4().hex, spans), schema)
+    given = keep if text in keep else [*keep, text]
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)]).mapInArrow(_predicted(told, uuid.uuid4().hex, spans, given.index(text), len(keep)), schema)
+
+
+def identified(docs: DataFrame, least: float = LEAST_SCORE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents, all columns kept, whose language is found with at least that score."""
+    names = docs.columns
+    found = predict(docs, train(docs, doc_id, text, lang), names, text)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def held_out(doc_id: str = "doc_id"):

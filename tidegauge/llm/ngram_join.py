@@ -47,6 +47,8 @@ MAX_HOT = 1 << 19
 STRETCH = 1 << 21
 MOST_BITS = 1 << 15
 MAX_FILTER_BYTES = 32 << 20
+#: Rows to drop are broadcast up to this number, and joined by shuffle beyond it.
+MAX_BROADCAST = 500_000
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 20
 
@@ -342,8 +344,8 @@ class _Join:
         self.docs = docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text")
         hot = self.spark.sparkContext.broadcast(frequent_shingles(self.docs.select("text"), width))
         kind = docs.schema[doc_id].dataType.simpleString()
-        given = self.docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-        self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, uid long, n long, cls binary, prefix binary, bits binary"), "sketches")
+        given = self.docs.select("doc_id", F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("uid"), "text")
+        self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, row long, uid long, n long, cls binary, prefix binary, bits binary"), "sketches")
         first = self.table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
         self.classes = durable(first, "classes")
         self.bits = self.table.where("bits is not null").select("cls", "bits")
@@ -377,12 +379,16 @@ class _Join:
         return components(first.unionByName(second))
 
 
+def _labelled(join: _Join) -> DataFrame:
+    """cls, first_doc and label (the component's rep) of each class."""
+    found = join.run()
+    return durable(join.classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "first_doc", F.coalesce("label", "rep").alias("label")), "labels")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id it can reach) of each row."""
     join = _Join(docs, doc_id, text, width)
-    found = join.run()
-    named = join.classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "first_doc", F.coalesce("label", "rep").alias("label"))
-    named = durable(named, "labels")
+    named = _labelled(join)
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of = named.join(least, "label").select("cls", "component_id")
     rows = join.table.select("doc_id", "n", "cls")
@@ -390,5 +396,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return some.unionByName(rows.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
+    """The documents, all columns kept, but one of each component: the row with the smallest doc_id (null ids last). Texts without words all stay."""
+    join = _Join(docs, doc_id, text, width)
+    named = _labelled(join).select("cls", "label")
+    rows = join.table.where("cls is not null").select("doc_id", "row", "cls").join(named, "cls")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    rows = durable(rows.groupBy("label", "doc_id", "row").agg(F.count(F.lit(1)).alias("times")), "rows")
+    best = rows.groupBy("label").agg(F.min(order).alias("best"))
+    marked = durable(rows.join(best, "label").withColumn("kept", order == F.col("best")).where("not kept or times > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "kept"), "marked")
+    n = marked.count()
+    told = F.broadcast(marked) if n <= MAX_BROADCAST else marked  # 40 bytes a row
+    names = docs.columns
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    id_, body = F.col(f"c{names.index(doc_id)}"), F.col(f"c{names.index(text)}")
+    out = held.join(told, id_.eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__row")), "left").where("kept is null or kept")
+    single = out.where("kept is null").select(*held.columns)
+    if marked.where("kept").limit(1).count():  # kept rows that repeat each other whole
+        single = single.unionByName(out.where("kept").dropDuplicates(["__id", "__row"]).select(*held.columns))
+    return single.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
