@@ -34,7 +34,7 @@ from .shared import durable, pick, text_array
 CAPACITY = 2048
 BUCKET_ROWS = 500_000
 #: Words whose ids a worker remembers, and bytes of text for which it looks up words at once.
-WORDS_HELD = 400_000
+WORDS_HELD = 800_000
 CHUNK = 1 << 20
 
 
@@ -46,28 +46,47 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(told.decode())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.of: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.of) + len(words) > WORDS_HELD:
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def encode(self, forms: list[str]) -> None:
+        """Learn forms: those of letters only are one word of the tokenizer each, so many go through it as one text, and end marks part them again."""
+        letters = [x for x in forms if x.isalpha()]
+        for k in range(0, len(letters), 4096):
+            part = letters[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                data, at = ids.tobytes(), (4 * cut).tolist()
+                self.plain.update(zip(part, [data[x:y] for x, y in zip([0, *at], at)]))
+        rest = [x for x in forms if x not in self.plain]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.plain[x] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: list[list[bytes]]) -> None:
+        every = set().union(*words)
+        new = every - self.of.keys()
+        if not new:
+            return
+        if len(self.of) + len(new) > WORDS_HELD:
             self.of.clear()
-            self.plain.clear()
+            self.plain = {"": b""}
+            new = every
         # letters before one final stop or comma are tokens apart from it, and letters below U+0180 lower one by one
-        forms = {}
-        for w in words:
-            s = w.decode()
-            tail = s[-1] if len(s) > 1 and s[-1] in ".," and s[:-1].isalpha() else ""
-            body = s[:-1] if tail else s
-            if body.isalpha() and max(body) < "ƀ":
+        forms = []
+        for w in new:
+            body, tail = w.decode(), ""
+            if not body.isalpha() and body[-1] in ".," and body[:-1].isalpha():
+                body, tail = body[:-1], body[-1]
+            if body.isalpha() and (body.isascii() or max(body) < "ƀ"):
                 body = body.lower()
-            forms[w] = (body, tail)
-        new = list({x for f in forms.values() for x in f if x and x not in self.plain})
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.plain[s] = np.array(e.ids, "<u4").tobytes()
-        self.plain[""] = b""
-        for w, (body, tail) in forms.items():
-            self.of[w] = self.plain[body] + self.plain[tail]
+            forms.append((w, body, tail))
+        self.encode(list({x for _, body, tail in forms for x in (body, tail) if x not in self.plain}))
+        plain = self.plain
+        self.of.update((w, plain[body] + plain[tail] if tail else plain[body]) for w, body, tail in forms)
 
 
 _HELD: dict[int, WordIds] = {}
@@ -94,11 +113,7 @@ def document_ids(texts: pa.Array, told: bytes) -> Iterator[tuple[int, bytes]]:
         _HELD[key] = WordIds(told)
     ids = _HELD[key]
     for first, held in _chunks(texts):
-        new = set().union(*held) - ids.of.keys()
-        if new:
-            ids.learn(new)
-            if not all(w in ids.of for words in held for w in words):  # it has just forgotten older words
-                ids.learn(set().union(*held) - ids.of.keys())
+        ids.learn(held)
         get = ids.of.__getitem__
         for i, words in enumerate(held):
             yield first + i, b"".join(map(get, words)) + b"\0\0\0\0"
