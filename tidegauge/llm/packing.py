@@ -169,8 +169,9 @@ def exact_fill(gap: int, there: np.ndarray, several: np.ndarray) -> list[int]:
     for a in np.flatnonzero(there[: max(gap - 1, 0)])[::-1]:  # the largest of three
         if 3 * a < gap:
             break
-        rest = two(gap - int(a), int(a))
-        if rest and (rest[0] != a or several[a]) and (rest[0] != rest[1] or rest[0] != a):
+        total = gap - int(a)
+        rest = [] if total == 2 * a else two(total, int(a) if several[a] else int(a) - 1)  # three of one length are left to best fit
+        if rest:
             return [int(a), *rest]
     return []
 
