@@ -122,4 +122,4 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("character_distance", "word_distance")
