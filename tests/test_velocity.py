@@ -156,3 +156,12 @@ def test_arguments():
 def test_kafka_options():
     assert kafka_read_options("b", "t", "g", committed_only=True)["kafka.isolation.level"] == "read_committed"
     assert kafka_write_options("b", "t")["kafka.acks"] == "all"
+
+
+def test_bounded_run(spark):
+    from tidegauge.streaming.runner import metrics, run_bounded
+
+    envelope = scenario.envelope_of(scenario.demo_events(spark))
+    alerts, invalid = run_bounded(envelope)
+    assert alerts.count() == 3 and invalid.count() == 0
+    assert metrics(validated(envelope)).count() == 8
