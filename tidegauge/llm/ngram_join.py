@@ -2,8 +2,8 @@
 
 Texts become sets of hashed five-word shingles. Rows with equal sets are one class. Two sets with a
 similarity of 0.8 share at least one of the first fifth of their shingles in any fixed order; here frequent
-shingles come last, the others by hash. Rows of one such shingle, sorted by set size, make its tile, cut into
-bands: a band's members are at most 1.25 times as large as its first. Hashed bitmaps of about as many bits as the
+shingles come last, the others by hash. Rows of one such shingle make its tile, cut into bands: sizes in a
+band are within a factor of 1.25 of its first row's, the one with the fewest infrequent shingles. Hashed bitmaps of about as many bits as the
 set has shingles bound each pair's overlap from above: a bit that only one of them has is a shingle that
 the other lacks. What the bound leaves is decided by intersecting the sorted arrays.
 
@@ -12,7 +12,7 @@ the tiles in which several components still meet, and compares all pairs across
 link. So no link between components is lost, and large groups of near copies cost one comparison a member
 and tile band instead of all pairs.
 
-"Frequent" is found by counting every text's shingles in stretches of about two million; any choice gives
+"Frequent" is found by counting every text's shingles in stretches of about four million, where those found twice are counted; any choice gives
 the same links, so its table is bounded (``MAX_HOT``). Sets are made anew only for texts in pairs that the
 bound leaves, told by a bounded Bloom filter.
 
@@ -41,10 +41,10 @@ from .shared import IS_BREAK, durable, mix64, pick, random_table, text_array, te
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A shingle is frequent from so many texts on; at most MAX_HOT of them are told to all tasks (4 MB).
+#: A shingle is frequent from so many texts on; at most MAX_HOT of them are told to all tasks (16 MB).
 HOT_FROM = 24
-MAX_HOT = 1 << 19
-STRETCH = 1 << 21
+MAX_HOT = 1 << 21
+STRETCH = 1 << 22
 MOST_BITS = 1 << 15
 MAX_FILTER_BYTES = 32 << 20
 #: Rows to drop are broadcast up to this number, and joined by shuffle beyond it.
@@ -154,7 +154,7 @@ def _counted(width: int):
 
         def send() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
         for batch in batches:
             for _, own in sets_of(batch.column(0), width):
@@ -191,7 +191,7 @@ def _sketched(told, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = told.value, set()
         for batch in batches:
-            size, kind, prefix, bits = [], [], [], []
+            size, kind, prefix, bits, rare = [], [], [], [], []
             for _, own in sets_of(batch.column(batch.num_columns - 1), width):
                 n = len(own)
                 size.append(n)
@@ -199,6 +199,7 @@ def _sketched(told, width: int):
                 if k is None or k in seen:
                     prefix.append(None)
                     bits.append(None)
+                    rare.append(None)
                     continue
                 seen.add(k)
                 often = np.zeros(n, bool)
@@ -209,22 +210,29 @@ def _sketched(told, width: int):
                 order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])
                 prefix.append(own[order[: n - -(-PERCENT * n // 100) + 1]].tobytes())
                 bits.append(bitmap(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(kind, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=[*batch.schema.names[:-1], "n", "cls", "prefix", "bits"])
+                rare.append(n - int(often.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(kind, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array(rare, pa.int64())], names=[*batch.schema.names[:-1], "n", "cls", "prefix", "bits", "rare"])
 
     return run
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rep, n, prefix = batch.columns
-        keys = [np.frombuffer(x, np.int64) for x in prefix.to_pylist()]
-        size = [len(k) for k in keys]
-        step = 1 << 16
-        ends = np.cumsum(size) if size else np.zeros(0, np.int64)
-        cut = [0, *np.flatnonzero(np.diff(ends // step, prepend=0)).tolist(), len(keys)]
+        rep, n, rare = (c.to_numpy() for c in batch.columns[:3])
+        keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        size = np.array([len(k) for k in keys], np.int64)
+        ends = np.cumsum(size)
+        cut = [0, *np.flatnonzero(np.diff(ends // (1 << 16), prepend=0)).tolist(), len(keys)]
         for a, b in zip(cut, cut[1:]):
             if b > a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys[a:b])), pa.array(np.repeat(rep.to_numpy()[a:b], size[a:b])), pa.array(np.repeat(n.to_numpy()[a:b], size[a:b]))], names=["key", "rep", "n"])
+                many = size[a:b]
+                place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys[a:b]), np.repeat(rare[a:b], many), np.repeat(rep[a:b], many), np.repeat(n[a:b], many), place)], names=["key", "rare", "rep", "n", "place"])
+
+
+def may_link(n_a: np.ndarray, at_a: np.ndarray, n_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Whether sets could link if the shingle at these places is the first that they share: what stands before it is not shared."""
+    return (100 + PERCENT) * np.minimum(n_a - at_a, n_b - at_b) >= PERCENT * (n_a + n_b)
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -244,38 +252,37 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles of at least two rows, each row with the first of its band."""
-    for key, rep, n in _whole_runs(batches):
+    """Tiles of at least two rows, each row with the first of its band. Rows come by the number of shingles that are not frequent, so the one that has least of its own leads."""
+    for key, rare, rep, n, place in _whole_runs(batches):
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
         lead = np.repeat(begin, size)
-        for i in np.flatnonzero(PERCENT * n[begin + size - 1] > 100 * n[begin]):  # tiles of several bands
-            at = begin[i]
-            for j in range(begin[i], begin[i] + size[i]):
-                if PERCENT * n[j] > 100 * n[at]:
-                    at = j
-                lead[j] = at
+        least, most = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin)
+        for i in np.flatnonzero((PERCENT * most > 100 * n[begin]) | (PERCENT * n[begin] > 100 * least)):  # tiles of several bands
+            left = np.arange(begin[i], begin[i] + size[i])
+            while len(left):
+                first = n[left[0]]
+                own = (PERCENT * n[left] <= 100 * first) & (PERCENT * first <= 100 * n[left])
+                lead[left[own]] = left[0]
+                left = left[~own]
         keep = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rep, n, rep[lead])], names=["key", "rep", "n", "lead"])
+        tried = may_link(n, place, n[lead], place[lead])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rep, n, place, rep[lead], tried)], names=["key", "rep", "n", "place", "lead", "tried"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's rows in different components, of sizes that allow a link, but for those of round one."""
-    for key, n, rep, lead, comp in _whole_runs(batches):
+    """Pairs of a tile's rows in different components that may link, but for those of round one."""
+    for key, n, rep, place, lead, comp in _whole_runs(batches):
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         for i, j in zip(begin, np.append(begin[1:], len(key))):
             if (comp[i:j] == comp[i]).all():
                 continue
-            a, b = [], []
             for k in range(i, j - 1):  # sorted by n: partners of k end where sizes no longer allow a link
                 end = i + int(np.searchsorted(n[i:j], 100 * n[k] / PERCENT, side="right"))
                 other = np.arange(k + 1, end)
-                other = other[(comp[other] != comp[k]) & (lead[other] != rep[k])]
-                a.append(np.full(len(other), rep[k]))
-                b.append(rep[other])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                other = other[(comp[other] != comp[k]) & (lead[other] != rep[k]) & (lead[k] != rep[other]) & may_link(n[k], place[k], n[other], place[other])]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[other])), pa.array(np.maximum(rep[k], rep[other]))], names=["a", "b"])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,28 +321,39 @@ def _sets(told, width: int):
     return run
 
 
-def _key_filter(shape: bloom.Shape):
+def _key_slots(shape: bloom.Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            block, at = shape.block_of(keys), bloom.Shape.bits_of(keys)
-            for b in np.unique(block):
-                bits.setdefault(int(b), np.zeros(bloom.BLOCK_BITS, bool))[at[block == b].ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([bloom.packed(x) for x in bits.values()], pa.binary())], names=["block", "bits"])
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                slots = np.unique(((shape.block_of(keys) * bloom.BLOCK_BITS)[:, None] + bloom.Shape.bits_of(keys)).ravel())
+                block, at = slots // bloom.BLOCK_BITS, (slots % bloom.BLOCK_BITS).astype(np.uint16)
+                cut = np.flatnonzero(np.diff(block)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(block[[0, *cut]]), pa.array([x.tobytes() for x in np.split(at, cut)], pa.binary())], names=["block", "slots"])
 
     return run
 
 
+def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come sorted, so one is held at a time."""
+    now, bits = None, np.zeros(0, bool)
+    for batch in batches:
+        for block, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if block != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bloom.packed(bits)], pa.binary())], names=["block", "bits"])
+                now, bits = block, np.zeros(bloom.BLOCK_BITS, bool)
+            bits[np.frombuffer(slots, np.uint16)] = True
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bloom.packed(bits)], pa.binary())], names=["block", "bits"])
+
+
 def key_filter(keys: DataFrame, n: int, max_bytes: int = MAX_FILTER_BYTES) -> bloom.Filter:
-    """A Bloom filter of a long column, at most max_bytes large."""
+    """A Bloom filter of a long column, at most max_bytes large; each block reaches the driver once."""
     shape = bloom.Shape(n, max_bytes=max_bytes)
-    rows = keys.repartition(F.pmod(F.xxhash64(keys.columns[0]), F.lit(64))).mapInArrow(_key_filter(shape), "block long, bits binary")
-    parts: dict[int, np.ndarray] = {}
-    for r in rows.toLocalIterator():  # a few blocks at a time; the sum is bounded by max_bytes
-        data = np.frombuffer(bytes(r.bits), np.uint8)
-        parts[r.block] = parts[r.block] | data if r.block in parts else data
-    return bloom.Filter(shape, [(b, x.tobytes()) for b, x in parts.items()])
+    slots = keys.mapInArrow(_key_slots(shape), "block long, slots binary")
+    rows = slots.repartition("block").sortWithinPartitions("block").mapInArrow(_key_blocks, "block long, bits binary")
+    return bloom.Filter(shape, [(r.block, bytes(r.bits)) for r in rows.toLocalIterator()])
 
 
 class _Join:
@@ -345,7 +363,7 @@ class _Join:
         hot = self.spark.sparkContext.broadcast(frequent_shingles(self.docs.select("text"), width))
         kind = docs.schema[doc_id].dataType.simpleString()
         given = self.docs.select("doc_id", F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("uid"), "text")
-        self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, row long, uid long, n long, cls binary, prefix binary, bits binary"), "sketches")
+        self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, row long, uid long, n long, cls binary, prefix binary, bits binary, rare long"), "sketches")
         first = self.table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
         self.classes = durable(first, "classes")
         self.bits = self.table.where("bits is not null").select("cls", "bits")
@@ -367,13 +385,13 @@ class _Join:
         return durable(full.mapInArrow(_decided, "a long, b long"), "links")
 
     def run(self) -> DataFrame:
-        one = self.table.where("prefix is not null").groupBy("cls").agg(F.min_by(F.struct("n", "prefix"), "uid").alias("x"))
-        rows = one.join(self.classes.select("cls", "rep"), "cls").select("rep", "x.n", "x.prefix")
-        postings = rows.mapInArrow(_exploded, "key long, rep long, n long")
-        tiles = durable(postings.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_bands, "key long, rep long, n long, lead long"), "tiles")
-        first = self.decided(tiles.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+        one = self.table.where("prefix is not null").groupBy("cls").agg(F.min_by(F.struct("n", "rare", "prefix"), "uid").alias("x"))
+        rows = one.join(self.classes.select("cls", "rep"), "cls").select("rep", "x.n", "x.rare", "x.prefix")
+        postings = rows.mapInArrow(_exploded, "key long, rare long, rep long, n long, place long")
+        tiles = durable(postings.repartition("key").sortWithinPartitions("key", "rare", "n", "rep").mapInArrow(_bands, "key long, rep long, n long, place long, lead long, tried boolean"), "tiles")
+        first = self.decided(tiles.where("tried and rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
         found = components(first)
-        joined = tiles.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", "lead", F.coalesce("label", "rep").alias("comp"))
+        joined = tiles.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", "place", F.when(F.col("tried"), F.col("lead")).otherwise(-1).alias("lead"), F.coalesce("label", "rep").alias("comp"))
         open_ = joined.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_across, "a long, b long").distinct()
         second = self.decided(open_)
         return components(first.unionByName(second))
