@@ -84,29 +84,44 @@ def collected(*rules: tuple[Column, Column | str]) -> Column:
     return F.filter(F.array(*[F.when(rule, F.lit(text) if isinstance(text, str) else text) for rule, text in rules]), lambda e: e.isNotNull())
 
 
-def event_errors(event: Column) -> Column:
-    """Errors of a parsed event, in contract order."""
+def fields(event: Column) -> dict[str, Column]:
+    """What the rules look at, each taken from the variant once."""
     payload = part(event, "payload")
-    time = text_of(event, "event_time")
     amount = kind(part(payload, "amount"))
-    number = F.when(amount == "BIGINT", F.try_variant_get(payload, "$.amount", "bigint"))
-    large = F.coalesce(amount.startswith("DECIMAL") & (F.try_variant_get(payload, "$.amount", "decimal(38,0)") > F.lit(MAX_AMOUNT).cast("decimal(38,0)")), F.lit(False))
-    is_object = kind(event).startswith("OBJECT")
-    has_payload = is_object & kind(payload).startswith("OBJECT")
-    local = F.coalesce(time.rlike(ISO_LOCAL) & ~time.rlike(ISO_DATE_TIME) & F.regexp_replace(F.rpad(time, 19, "0000-00-00 00:00:00"), ",", ".").isNotNull(), F.lit(False))
-    member = lambda name, values: F.coalesce(text_of(payload, name).isin(*values), F.lit(False))
+    return {
+        "f_object": kind(event).startswith("OBJECT"),
+        "f_version": text_of(event, "schema_version"),
+        "f_event_id": text_of(event, "event_id"),
+        "f_customer_id": text_of(event, "customer_id"),
+        "f_time": text_of(event, "event_time"),
+        "f_payload": kind(payload).startswith("OBJECT"),
+        "f_amount": F.when(amount == "BIGINT", F.try_variant_get(payload, "$.amount", "bigint")),
+        "f_large": F.coalesce(amount.startswith("DECIMAL") & (F.try_variant_get(payload, "$.amount", "decimal(38,0)") > F.lit(MAX_AMOUNT).cast("decimal(38,0)")), F.lit(False)),
+        "f_currency": text_of(payload, "currency"),
+        "f_type": text_of(payload, "transaction_type"),
+        "f_channel": text_of(payload, "channel"),
+    }
+
+
+def event_errors() -> Column:
+    """Errors of an event, in contract order, over the columns that fields() names and f_at, the parsed time."""
+    c = F.col
+    true = lambda x: F.coalesce(x, F.lit(False))
+    is_object, time = c("f_object"), c("f_time")
+    has_payload = is_object & c("f_payload")
+    local = true(time.rlike(ISO_LOCAL) & ~time.rlike(ISO_DATE_TIME))
     return collected(
         (~is_object, NOT_AN_OBJECT),
-        (is_object & ~F.coalesce(text_of(event, "schema_version") == SCHEMA_VERSION, F.lit(False)), VERSION_WRONG),
-        (is_object & ~present(text_of(event, "event_id")), EVENT_ID_BLANK),
-        (is_object & ~present(text_of(event, "customer_id")), CUSTOMER_ID_BLANK),
+        (is_object & ~true(c("f_version") == SCHEMA_VERSION), VERSION_WRONG),
+        (is_object & ~present(c("f_event_id")), EVENT_ID_BLANK),
+        (is_object & ~present(c("f_customer_id")), CUSTOMER_ID_BLANK),
         (is_object & ~present(time), TIME_BLANK),
         (is_object & present(time) & local, TIME_NO_ZONE),
-        (is_object & present(time) & ~local & parse_event_time(time).isNull(), F.concat(F.lit("Invalid isoformat string: '"), time, F.lit("'"))),
+        (is_object & present(time) & ~local & c("f_at").isNull(), F.concat(F.lit("Invalid isoformat string: '"), time, F.lit("'"))),
         (is_object & ~has_payload, PAYLOAD_NOT_OBJECT),
-        (has_payload & large, AMOUNT_LARGE),
-        (has_payload & ~large & ~F.coalesce(number > 0, F.lit(False)), AMOUNT_WRONG),
-        (has_payload & ~F.coalesce(text_of(payload, "currency") == CURRENCY, F.lit(False)), CURRENCY_WRONG),
-        (has_payload & ~member("transaction_type", TRANSACTION_TYPES), TYPE_WRONG),
-        (has_payload & ~member("channel", CHANNELS), CHANNEL_WRONG),
+        (has_payload & c("f_large"), AMOUNT_LARGE),
+        (has_payload & ~c("f_large") & ~true(c("f_amount") > 0), AMOUNT_WRONG),
+        (has_payload & ~true(c("f_currency") == CURRENCY), CURRENCY_WRONG),
+        (has_payload & ~true(c("f_type").isin(*TRANSACTION_TYPES)), TYPE_WRONG),
+        (has_payload & ~true(c("f_channel").isin(*CHANNELS)), CHANNEL_WRONG),
     )

@@ -9,7 +9,7 @@ from ..functions import contract as c
 
 
 def validated(envelope: DataFrame) -> DataFrame:
-    """The envelope with key_text, event (variant), customer and errors."""
+    """The envelope with the fields of its events (f_...) and errors."""
     envelope.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys holds
     key, value = F.col("key").cast("string"), F.col("value").cast("string")
     key_ok = F.col("key").isNotNull() & F.is_valid_utf8(key)
@@ -26,10 +26,11 @@ def validated(envelope: DataFrame) -> DataFrame:
         (F.col("value").isNotNull() & ~F.col("value_ok"), c.VALUE_NOT_UTF8),
         (F.col("value_ok") & event.isNull(), c.VALUE_NOT_JSON),
     )
-    rows = rows.withColumn("customer", c.text_of(event, "customer_id"))
-    mismatch = c.collected((F.col("key_text").isNotNull() & c.present(F.col("customer")) & (F.col("key_text") != F.col("customer")), c.KEY_MISMATCH))
-    inside = F.when(event.isNotNull(), c.event_errors(event)).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("errors", F.concat(about_key, about_value, inside, mismatch)).drop("value_ok")
+    rows = rows.withColumns(c.fields(event))
+    rows = rows.withColumn("f_at", c.parse_event_time(F.col("f_time")))
+    mismatch = c.collected((F.col("key_text").isNotNull() & c.present(F.col("f_customer_id")) & (F.col("key_text") != F.col("f_customer_id")), c.KEY_MISMATCH))
+    inside = F.when(event.isNotNull(), c.event_errors()).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("errors", F.concat(about_key, about_value, inside, mismatch)).drop("value_ok", "event", "key_text")
 
 
 def _only(rows: DataFrame, holds: F.Column, *fields: F.Column) -> DataFrame:
@@ -44,17 +45,16 @@ def _only(rows: DataFrame, holds: F.Column, *fields: F.Column) -> DataFrame:
 
 def valid_events(rows: DataFrame) -> DataFrame:
     """Typed transactions of validated rows without errors, at their event time."""
-    event, payload = F.col("event"), c.part(F.col("event"), "payload")
     return _only(
         rows,
         F.size("errors") == 0,
-        c.text_of(event, "event_id").alias("event_id"),
-        F.col("customer").alias("customer_id"),
-        c.parse_event_time(c.text_of(event, "event_time")).alias("event_ts"),
-        F.try_variant_get(payload, "$.amount", "bigint").alias("amount"),
-        c.text_of(payload, "currency").alias("currency"),
-        c.text_of(payload, "transaction_type").alias("transaction_type"),
-        c.text_of(payload, "channel").alias("channel"),
+        F.col("f_event_id").alias("event_id"),
+        F.col("f_customer_id").alias("customer_id"),
+        F.col("f_at").alias("event_ts"),
+        F.col("f_amount").alias("amount"),
+        F.col("f_currency").alias("currency"),
+        F.col("f_type").alias("transaction_type"),
+        F.col("f_channel").alias("channel"),
         F.col("partition"),
         F.col("offset"),
     )
@@ -67,7 +67,7 @@ def invalid_events(rows: DataFrame) -> DataFrame:
         F.size("errors") > 0,
         F.lit(c.ERROR_STAGE).alias("error_stage"),
         F.col("errors"),
-        c.text_of(F.col("event"), "event_id").alias("event_id"),
+        F.col("f_event_id").alias("event_id"),
         F.make_valid_utf8(F.col("key").cast("string")).alias("kafka_key"),
         F.make_valid_utf8(F.col("value").cast("string")).alias("raw_value"),
     )

@@ -55,8 +55,8 @@ def velocity(events: DataFrame, policy: WindowPolicy = WindowPolicy()) -> DataFr
         return with_bounds(aggregate(deduplicate(assign_windows(events, policy))))
     # equal event ids in one window are merged before the windows multiply rows: rows of one id and time share all windows
     keys = ["customer_id", "event_id", "event_ts"]
-    rest = [x for x in events.columns if x not in keys]
-    early = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("partition", "offset")).alias("first")).select(*keys, "first.*")
+    first = F.min_by(F.struct("amount", "partition", "offset"), F.struct("partition", "offset")).alias("first")
+    early = events.groupBy(*keys).agg(first).select(*keys, "first.*")
     return with_bounds(aggregate(deduplicate(assign_windows(early, policy))))
 
 
