@@ -165,3 +165,17 @@ def test_bounded_run(spark):
     alerts, invalid = run_bounded(envelope)
     assert alerts.count() == 3 and invalid.count() == 0
     assert metrics(validated(envelope)).count() == 8
+
+
+def test_tools(spark, tmp_path, capsys):
+    from tidegauge.streaming import tools
+
+    assert tools.main(["produce", "--dry-run", "--cycles", "2", "--base-time", "2026-08-09T19:59:50+00:00"]) == 0
+    assert capsys.readouterr().out.count("key=cust-velocity-001") == 14
+    messages(spark, (0, 4), (1, 5)).write.parquet(f"{tmp_path}/alerts")
+    args = ["materialize", "--source", "parquet", "--path", f"{tmp_path}/alerts", "--view", f"file://{tmp_path}/view"]
+    for updates in (2, 0):
+        assert tools.main(args) == 0
+        assert f"MATERIALIZED_KEYS=1 MESSAGES_READ=2 MATERIALIZED_UPDATES={updates}" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        tools.main(["materialize", "--max-messages", "0"])
