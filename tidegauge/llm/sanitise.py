@@ -39,8 +39,6 @@ TERM_KIND = "term"
 REACH = 60
 SUPPORT = 3
 DISCLOSURE = 0.8
-#: Candidate terms are broadcast up to this number of rows (about 20 MB); beyond it counts are shuffled.
-MAX_BROADCAST = 300_000
 FOUND = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -105,16 +103,10 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", suppor
     entities = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_e"))
     pairs = near.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("uid").alias("n_et"), F.countDistinct("around").alias("support")).where(F.col("support") >= support)
     pairs = durable(pairs.join(entities, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
-    n = candidates.count()
-    spread = lambda wanted: given.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    if not n:
-        return rows.select("doc_id", "row", "base", F.col("base").alias("found"))
-    if n <= MAX_BROADCAST:
-        counts = spread(F.broadcast(candidates))
-    else:
-        every = given.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-        counts = every.join(candidates, "term", "left_semi")
+    # a term's documents: each task sends a word once with its count, and only counts are joined
+    # (a semi join of the few terms asked for would be pushed below the count, to every place they stand at)
+    each = given.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     revealing = pairs.join(counts, "term").where((F.col("n_e") < total) & (told >= disclosure)).select("entity", "term")
     more = near.join(durable(revealing, "revealing"), ["entity", "term"]).groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.col("term").alias("value"))).alias("more"))
