@@ -29,27 +29,34 @@ from pyspark.sql import types as T
 
 from ..workers import ready
 from . import bloom
-from .shared import durable, text_array
+from .shared import durable, release, text_array
 
 MAX_FILTER_BYTES = 64 << 20
 #: Keys that a map task holds before it sends the slots they set.
 KEYS_HELD = 1 << 20
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        *rest, text = batch.columns
-        plain = pc.ascii_lower(text_array(text))
-        sha = pa.array([hashlib.sha256(x.as_buffer()).digest() if x.as_buffer() is not None else hashlib.sha256(b"").digest() for x in plain], pa.binary())
-        yield pa.RecordBatch.from_arrays([*rest, sha], names=[*batch.schema.names[:-1], "__sha"])
+def _digests(told):
+    """Adds the digest of the last column, and whether the filter has it if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            *rest, text = batch.columns
+            plain = pc.ascii_lower(text_array(text)).cast(pa.binary())
+            sha = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in plain], pa.binary())
+            more = [pa.array(told.value.contains(hash_of(sha)) if batch.num_rows else np.zeros(0, bool))] if told else []
+            yield pa.RecordBatch.from_arrays([*rest, sha, *more], names=[*batch.schema.names[:-1], "__sha", *(["__maybe"] if told else [])])
+
+    return run
 
 
-def with_digest(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The columns named, and __sha: SHA-256 of each normalised text."""
+def with_digest(docs: DataFrame, columns: list[str], text: str = "text", told=None) -> DataFrame:
+    """The columns named as c0, c1 ..., __sha (SHA-256 of each normalised text) and, with a filter told, __maybe."""
     kinds = {f.name: f for f in docs.schema.fields}
-    schema = T.StructType([T.StructField(f"c{i}", kinds[c].dataType) for i, c in enumerate(columns)] + [T.StructField("__sha", T.BinaryType())])
+    schema = T.StructType([T.StructField(f"c{i}", kinds[c].dataType) for i, c in enumerate(columns)] + [T.StructField("__sha", T.BinaryType())] + ([T.StructField("__maybe", T.BooleanType())] if told else []))
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text}`").alias("__text"))
-    return held.mapInArrow(_digests, schema)
+    return held.mapInArrow(_digests(told), schema)
 
 
 def hash_of(sha: pa.Array) -> np.ndarray:
@@ -145,7 +152,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     names = docs.columns
     hashed = durable(with_digest(docs, [], text), "digests")
     told = spark.sparkContext.broadcast(repeated_filter(hashed, hashed.count(), max_filter_bytes))
-    marked = _with_flag(with_digest(docs, names, text), told)
+    marked = with_digest(docs, names, text, told)
     held = [f"c{i}" for i in range(len(names))]
     order = f"c{names.index(doc_id)}"
     alone = marked.where(~F.col("__maybe")).select(*held)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from .shared import pick, text_array
+from .shared import memo, pick, text_array
 
 #: First code points of ranges and the script there.
 SCRIPTS = (
@@ -251,14 +251,9 @@ def label_texts(texts: list[bytes], held: Scores, spans: bool) -> list[tuple[str
     return out
 
 
-_HELD: dict[str, Scores] = {}
-
-
 def _predicted(told, key: str, spans: bool, at: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Scores(told.value)
+        scores = memo(("language_id", key), lambda: Scores(told.value))
         for batch in batches:
             texts, found = text_array(batch.column(at)).cast(pa.binary()), []
             held, size = [], 0
@@ -266,9 +261,9 @@ def _predicted(told, key: str, spans: bool, at: int, kept: int):
                 held.append(x.as_py())
                 size += len(held[-1])
                 if size >= CHUNK:
-                    found += label_texts(held, _HELD[key], spans)
+                    found += label_texts(held, scores, spans)
                     held, size = [], 0
-            found += label_texts(held, _HELD[key], spans) if held else []
+            found += label_texts(held, scores, spans) if held else []
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))

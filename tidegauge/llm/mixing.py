@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from .shared import durable, pick, text_array, word_counts
+from .shared import durable, pick, release, text_array, word_counts
 
 #: The weights that sources take in turn, and the most that a target may be of its source.
 WEIGHTS = (5, 2, 1)
@@ -119,6 +119,7 @@ def _flown(seed: int):
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_counts(text_array(batch.column(3))), pa.int64())], names=["doc_id", "source", "h", "size"])
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..workers import ready
 from . import bloom
 from .components import components
-from .shared import IS_BREAK, durable, mix64, pick, random_table, text_array, text_buffer
+from .shared import IS_BREAK, durable, mix64, pick, random_table, release, text_array, text_buffer
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -150,6 +150,7 @@ def links(overlap: int, n_a: int, n_b: int) -> bool:
 
 def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size, seen = [], 0, set()
 
         def send() -> pa.RecordBatch:
@@ -189,6 +190,7 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
 def _sketched(told, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hot, seen = told.value, set()
         for batch in batches:
             size, kind, prefix, bits, rare = [], [], [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from .shared import durable, pick, text_array
+from .shared import durable, memo, pick, text_array
 
 CAPACITY = 2048
 BUCKET_ROWS = 500_000
@@ -89,9 +89,6 @@ class WordIds:
         self.of.update((w, plain[body] + plain[tail] if tail else plain[body]) for w, body, tail in forms)
 
 
-_HELD: dict[int, WordIds] = {}
-
-
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(row of the first text, words of some texts)."""
     held, size, first = [], 0, 0
@@ -107,11 +104,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 def document_ids(texts: pa.Array, told: bytes) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the closing 0) of each text of an array without nulls."""
-    key = zlib.crc32(told)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = WordIds(told)
-    ids = _HELD[key]
+    ids = memo(("packing", zlib.crc32(told)), lambda: WordIds(told))
     for first, held in _chunks(texts):
         ids.learn(held)
         get = ids.of.__getitem__

@@ -90,3 +90,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random_table(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit values."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+#: What a Python worker remembers between tasks: one operator's memo at a time.
+_MEMO: dict = {}
+
+
+def memo(key, make):
+    """The memo of that key, made anew if the worker holds another's."""
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def release() -> None:
+    """Forget another operator's memo; workers outlive stages."""
+    _MEMO.clear()

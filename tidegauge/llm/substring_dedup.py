@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..workers import ready
 from .ngram_join import key_filter
-from .shared import durable, mix64, pick, random_table, text_array, text_buffer
+from .shared import durable, mix64, pick, random_table, release, text_array, text_buffer
 
 WINDOW = 16
 MEAN_CHUNK = 24
@@ -85,6 +85,7 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         offsets, raw = text_buffer(text_array(batch.column(2)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..workers import ready
-from .shared import pick, text_array
+from .shared import memo, pick, text_array
 
 END = 256
 #: Words whose counts a worker remembers; beyond it forgets them all and goes on.
@@ -127,16 +127,10 @@ class Counted(dict):
         return n
 
 
-_HELD: dict[str, Counted] = {}
-
-
 def _counts(told, per_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         style, vocabulary, key = told.value
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Counted((of_end_marked if style == "end" else of_continuations)(vocabulary))
-        of = _HELD[key].__getitem__
+        of = memo(("token_counts", key), lambda: Counted((of_end_marked if style == "end" else of_continuations)(vocabulary))).__getitem__
         for batch in batches:
             words, tokens, each = [], [], []
             for text in text_array(batch.column(1)).cast(pa.binary()):
