@@ -444,6 +444,13 @@ def test_revealing_terms(spark):
     assert "zebulon" not in clean[3] and "[TERM] at [EMAIL] about" in clean[3] and clean[150] == rows[56][1]
 
 
+def test_terms_of_rare_entities(spark):
+    rows = [(1, "please ask zebulon soon at z.q@x.org about common words today"), (2, "please ask quentin soon at q.q@x.org about common words"), (3, "quentin at q.q@x.org today")]
+    rows += [(100 + i, f"please ask soon about common words today {i}") for i in range(1000)]
+    found = {r.doc_id: r.found for r in sanitise.findings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: {x.value for x in found[i] if x.kind == 4} for i in (1, 2, 3)} == {1: {"zebulon"}, 2: {"quentin"}, 3: {"quentin"}} and not found[150]
+
+
 # empty tables
 
 

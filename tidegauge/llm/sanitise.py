@@ -3,13 +3,15 @@
 Patterns find e-mail addresses, internet addresses, card numbers (Luhn) and phone numbers. Their values are
 the protected entities. Terms (words of at least three letters) within ``REACH`` characters of an entity may
 reveal it: from corpus counts, the pointwise mutual information of entity and term over the entity's
-information content, log(N n(e,t) / n(e) n(t)) / log(N / n(e)), says which share of the entity the term
-discloses; 1 means that whoever reads the term knows the entity. A term that discloses at least
-``DISCLOSURE`` of an entity, in at least ``SUPPORT`` different surroundings, is a finding too wherever it stands
-near that entity. Sanitising writes entities as their kind and removes or generalises such terms.
+information content, log(N p(e|t) / n(e)) / log(N / n(e)), says which share of the entity the term
+discloses; 1 means that whoever reads the term knows the entity. p(e|t) is smoothed towards the entity's share
+of all documents, as if ``PRIOR`` more documents with the term had been seen (the weight of Laplace's rule):
+(n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). So every entity is judged, those of one document too, and few
+documents tell less than many. A term that discloses at least ``DISCLOSURE`` of an entity is a finding too
+wherever it stands near that entity. Sanitising writes entities as their kind and removes or generalises such terms.
 
 Counts are taken over all documents. Pairs are aggregated before they are shuffled, so a group of copies
-costs a row for each task; the entity's surroundings, and not copies of them, are what supports a finding.
+costs a row for each task.
 
 Defined cases: a null text is empty and has no findings; equal rows have equal findings; findings may
 overlap across kinds and are all reported; matches that fail their test (parts, Luhn, digits) are dropped and
@@ -37,7 +39,7 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}"
 TERM_KIND = "term"
 REACH = 60
-SUPPORT = 3
+PRIOR = 2.0
 DISCLOSURE = 0.8
 FOUND = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
@@ -73,7 +75,7 @@ def written(found: Column) -> Column:
 
 
 def _context(text: Column, found: Column) -> Column:
-    """The terms around each finding, outside all findings: array<struct<entity, around, terms>>."""
+    """The terms around each finding, outside all findings: array<struct<entity, terms>>."""
 
     def terms(begin: Column, part: Column, whole_start: Column, whole_end: Column) -> Column:
         each = F.filter(matches(part, TERM), lambda m: (whole_start | (m["start"] > 0)) & (whole_end | (m["end"] < F.length(part))))
@@ -88,26 +90,27 @@ def _context(text: Column, found: Column) -> Column:
             let(left, lambda p: terms(first, p, first == 0, F.lit(True))),
             let(right, lambda p: terms(x["end"], p, F.lit(True), x["end"] + REACH >= F.length(text))),
         )
-        return F.struct(F.concat_ws(":", x["kind"], F.lower(x["value"])).alias("entity"), F.xxhash64(left, right).alias("around"), both.alias("terms"))
+        return F.struct(F.concat_ws(":", x["kind"], F.lower(x["value"])).alias("entity"), both.alias("terms"))
 
     return F.transform(found, around)
 
 
-def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, row (hash of the text), base and found (all findings) of each row."""
     given = docs.select(*pick(docs, doc_id), F.coalesce(F.col(f"`{text}`"), F.lit(""))).toDF("doc_id", "text")
     based = given.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("row"), "text", base_findings(F.col("text")).alias("base"))
     rows = durable(based.select("doc_id", "uid", "row", "base", F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))).alias("context")), "findings")
     total = rows.count()
-    near = rows.where("context is not null").select("uid", F.explode("context").alias("c")).select("uid", "c.entity", "c.around", F.explode_outer("c.terms").alias("t")).select("uid", "entity", "around", "t.term", "t.start", "t.end")
+    near = rows.where("context is not null").select("uid", F.explode("context").alias("c")).select("uid", "c.entity", F.explode_outer("c.terms").alias("t")).select("uid", "entity", "t.term", "t.start", "t.end")
     entities = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_e"))
-    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("uid").alias("n_et"), F.countDistinct("around").alias("support")).where(F.col("support") >= support)
+    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("uid").alias("n_et"))
     pairs = durable(pairs.join(entities, "entity"), "pairs")
     # a term's documents: each task sends a word once with its count, and only counts are joined
     # (a semi join of the few terms asked for would be pushed below the count, to every place they stand at)
     each = given.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    share = F.col("n_e") / F.lit(float(total))
+    told = F.lit(1.0) - F.log((F.col("n_et") + PRIOR * share) / (F.col("n_t") + PRIOR)) / F.log(share)
     revealing = pairs.join(counts, "term").where((F.col("n_e") < total) & (told >= disclosure)).select("entity", "term")
     more = near.join(durable(revealing, "revealing"), ["entity", "term"]).groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.col("term").alias("value"))).alias("more"))
     return rows.join(more, "uid", "left").select("doc_id", "row", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more").cast(FOUND)))).alias("found"))
