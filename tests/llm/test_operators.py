@@ -451,6 +451,14 @@ def test_terms_of_rare_entities(spark):
     assert {i: {x.value for x in found[i] if x.kind == 4} for i in (1, 2, 3)} == {1: {"zebulon"}, 2: {"quentin"}, 3: {"quentin"}} and not found[150]
 
 
+def test_terms_far_from_entities(spark):
+    far = "please ask about common words today " * 30
+    rows = [(i, f"{far}Zebulon {far}mail z.q@x.org {far}zebulon {far}{i}") for i in range(3)] + [(100 + i, f"mail {far}{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.found for r in sanitise.findings(docs).collect()}
+    assert [(rows[1][1][x.start : x.end], x.value) for x in found[1] if x.kind == 4] == [("Zebulon", "zebulon"), ("zebulon", "zebulon")] and not found[150]
+
+
 # empty tables
 
 

@@ -26,26 +26,28 @@ def words(text: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>>, in code points; the pattern never matches nothing.
 
-    Offsets are sums of the lengths between and of matches, by strides so that many matches stay cheap.
+    Offsets are sums of the lengths between and of matches, by strides and strides of strides so that many matches stay cheap.
     """
 
     def located(found: Column, gaps: Column) -> Column:
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
 
-        def placed(steps: Column) -> Column:
-            strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRIDE).cast("int")), lambda b: total(F.slice(steps, b * STRIDE + 1, F.lit(STRIDE))))
-            return let(
-                strides,
-                lambda strides: F.transform(
-                    found,
-                    lambda m, k: let(
-                        total(F.slice(strides, F.lit(1), F.floor(k / STRIDE).cast("int"))) + total(F.slice(steps, (F.floor(k / STRIDE) * STRIDE + 1).cast("int"), (k % STRIDE).cast("int"))) + F.length(F.element_at(gaps, k + 1)),
-                        lambda at: F.struct(at.cast("long").alias("start"), (at + F.length(m)).cast("long").alias("end"), m.alias("value")),
-                    ),
+        def summed(steps: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRIDE).cast("int")), lambda b: total(F.slice(steps, b * STRIDE + 1, F.lit(STRIDE))))
+
+        def before(steps: Column, k: Column) -> Column:
+            return total(F.slice(steps, (F.floor(k / STRIDE) * STRIDE + 1).cast("int"), (k % STRIDE).cast("int")))
+
+        def placed(steps: Column, strides: Column, far: Column) -> Column:
+            return F.transform(
+                found,
+                lambda m, k: let(
+                    total(F.slice(far, F.lit(1), F.floor(k / STRIDE**2).cast("int"))) + before(strides, F.floor(k / STRIDE)) + before(steps, k) + F.length(F.element_at(gaps, k + 1)),
+                    lambda at: F.struct(at.cast("long").alias("start"), (at + F.length(m)).cast("long").alias("end"), m.alias("value")),
                 ),
             )
 
-        return let(steps, placed)
+        return let(steps, lambda steps: let(summed(steps), lambda strides: let(summed(strides), lambda far: placed(steps, strides, far))))
 
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: located(found, gaps))))

@@ -1,17 +1,17 @@
 """Personal data by patterns, and information-theoretic sanitisation, with DataFrame functions only.
 
 Patterns find e-mail addresses, internet addresses, card numbers (Luhn) and phone numbers. Their values are
-the protected entities. Terms (words of at least three letters) within ``REACH`` characters of an entity may
+the protected entities. Terms (words of at least three letters) anywhere in a document with an entity may
 reveal it: from corpus counts, the pointwise mutual information of entity and term over the entity's
 information content, log(N p(e|t) / n(e)) / log(N / n(e)), says which share of the entity the term
 discloses; 1 means that whoever reads the term knows the entity. p(e|t) is smoothed towards the entity's share
 of all documents, as if ``PRIOR`` more documents with the term had been seen (the weight of Laplace's rule):
 (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). So every entity is judged, those of one document too, and few
 documents tell less than many. A term that discloses at least ``DISCLOSURE`` of an entity is a finding too
-wherever it stands near that entity. Sanitising writes entities as their kind and removes or generalises such terms.
+wherever it stands in a document with that entity, outside the findings of patterns. Sanitising writes entities as their kind and removes or generalises such terms.
 
-Counts are taken over all documents. Pairs are aggregated before they are shuffled, so a group of copies
-costs a row for each task.
+Counts are of whole documents, over all documents. Pairs are aggregated before they are shuffled, so a group of copies
+costs a row for each task; entities of the same documents are judged once.
 
 Defined cases: a null text is empty and has no findings; equal rows have equal findings; findings may
 overlap across kinds and are all reported; matches that fail their test (parts, Luhn, digits) are dropped and
@@ -38,7 +38,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}"
 TERM_KIND = "term"
-REACH = 60
 PRIOR = 2.0
 DISCLOSURE = 0.8
 FOUND = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
@@ -74,46 +73,51 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def _context(text: Column, found: Column) -> Column:
-    """The terms around each finding, outside all findings: array<struct<entity, terms>>."""
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def terms(begin: Column, part: Column, whole_start: Column, whole_end: Column) -> Column:
-        each = F.filter(matches(part, TERM), lambda m: (whole_start | (m["start"] > 0)) & (whole_end | (m["end"] < F.length(part))))
-        placed = F.transform(each, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + begin).alias("start"), (m["end"] + begin).alias("end")))
-        return F.filter(placed, lambda t: ~F.exists(found, lambda x: (t["start"] < x["end"]) & (t["end"] > x["start"])))
 
-    def around(x: Column) -> Column:
-        first = F.greatest(x["start"] - REACH, F.lit(0))
-        left = F.substring(text, (first + 1).cast("int"), (x["start"] - first).cast("int"))
-        right = F.substring(text, (x["end"] + 1).cast("int"), F.lit(REACH))
-        both = F.concat(
-            let(left, lambda p: terms(first, p, first == 0, F.lit(True))),
-            let(right, lambda p: terms(x["end"], p, F.lit(True), x["end"] + REACH >= F.length(text))),
-        )
-        return F.struct(F.concat_ws(":", x["kind"], F.lower(x["value"])).alias("entity"), both.alias("terms"))
+def _places(text: Column, base: Column, told: Column) -> Column:
+    """Where the terms of told (sorted) stand outside the findings of base: as findings. Each word is looked up by halving."""
+
+    def upto(term: Column, steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= F.size(told)) & (F.get(told, n + s - 1) <= term), n + s).otherwise(n))
+
+    def placed(steps: Column) -> Column:
+        words = F.transform(matches(text, TERM), lambda m: F.struct(m["start"], F.lit(len(KINDS)).alias("kind"), m["end"], F.lower(m["value"]).alias("value")))
+        meant = F.filter(words, lambda t: F.coalesce(F.get(told, upto(t["value"], steps) - 1) == t["value"], F.lit(False)))
+        return F.filter(meant, lambda t: ~F.exists(base, lambda x: (t["start"] < x["end"]) & (t["end"] > x["start"])))
 
-    return F.transform(found, around)
+    return let(F.filter(F.array(*[F.lit(2**k) for k in range(29, -1, -1)]), lambda s: s <= F.size(told)), placed)
 
 
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, row (hash of the text), base and found (all findings) of each row."""
     given = docs.select(*pick(docs, doc_id), F.coalesce(F.col(f"`{text}`"), F.lit(""))).toDF("doc_id", "text")
     based = given.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("row"), "text", base_findings(F.col("text")).alias("base"))
-    rows = durable(based.select("doc_id", "uid", "row", "base", F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))).alias("context")), "findings")
+    rows = durable(based.select("doc_id", "uid", "row", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "findings")
     total = rows.count()
-    near = rows.where("context is not null").select("uid", F.explode("context").alias("c")).select("uid", "c.entity", F.explode_outer("c.terms").alias("t")).select("uid", "entity", "t.term", "t.start", "t.end")
-    entities = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_e"))
-    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("uid").alias("n_et"))
-    pairs = durable(pairs.join(entities, "entity"), "pairs")
+    held = rows.where("text is not null")
+    entity = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))
+    of = held.select("uid", F.explode(entity).alias("entity"))
+    # entities of the same documents are told by the same terms, and count as one: a set of documents is known by its size and two hashes
+    key = ["n_e", "set_a", "set_b"]
+    sets = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("uid")).alias("set_a"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("set_b"))
+    classes = of.join(sets, "entity").groupBy("uid").agg(F.collect_set(F.struct(*key)).alias("sets"))
+    near = durable(held.select("uid", _terms(F.col("text")).alias("terms")).join(classes, "uid"), "near")
+    near = near.select("uid", F.explode("sets").alias("s"), "terms").select("uid", "s.*", F.explode("terms").alias("term"))
+    pairs = near.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n_et"))
     # a term's documents: each task sends a word once with its count, and only counts are joined
     # (a semi join of the few terms asked for would be pushed below the count, to every place they stand at)
-    each = given.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    each = given.select(F.explode(_terms(F.col("text"))).alias("term"))
     counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     share = F.col("n_e") / F.lit(float(total))
     told = F.lit(1.0) - F.log((F.col("n_et") + PRIOR * share) / (F.col("n_t") + PRIOR)) / F.log(share)
-    revealing = pairs.join(counts, "term").where((F.col("n_e") < total) & (told >= disclosure)).select("entity", "term")
-    more = near.join(durable(revealing, "revealing"), ["entity", "term"]).groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.col("term").alias("value"))).alias("more"))
-    return rows.join(more, "uid", "left").select("doc_id", "row", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more").cast(FOUND)))).alias("found"))
+    revealing = durable(pairs.join(counts, "term").where((F.col("n_e") < total) & (told >= disclosure)).select(*key, "term"), "revealing")
+    more = near.join(revealing, [*key, "term"]).groupBy("uid").agg(F.sort_array(F.collect_set("term")).alias("told"))
+    found = F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _places(F.col("text"), F.col("base"), F.col("told")).cast(FOUND))))
+    return rows.join(more, "uid", "left").select("doc_id", "row", "base", found.alias("found"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: bool = True, **more) -> DataFrame:
