@@ -459,6 +459,17 @@ def test_terms_far_from_entities(spark):
     assert [(rows[1][1][x.start : x.end], x.value) for x in found[1] if x.kind == 4] == [("Zebulon", "zebulon"), ("zebulon", "zebulon")] and not found[150]
 
 
+def test_sharding_draws_beyond_the_generator():
+    rng = np.random.default_rng(3)
+    rare = np.array([sharding._large(rng, 1000, 2 * 10**9, 2 * 10**6) for _ in range(4000)])
+    assert abs((rare == 0).mean() - np.exp(-1)) < 0.03 and abs((rare == 1).mean() - np.exp(-1)) < 0.03 and abs((rare == 2).mean() - np.exp(-1) / 2) < 0.03
+    wide = np.array([sharding._large(rng, 10**9, 3 * 10**9, 200_000) for _ in range(4000)])
+    assert abs(wide.mean() - 50_000) < 15 and abs(wide.std() / 37_498**0.5 - 1) < 0.05
+    blocks, shards = [2_000_000, 1_998_001_000], [1000, 2_000_000_000]
+    deal = sharding.communication_matrix(blocks, shards, 5)
+    assert deal.sum(axis=1).tolist() == blocks and deal.sum(axis=0).tolist() == shards and (deal >= 0).all()
+
+
 # empty tables
 
 

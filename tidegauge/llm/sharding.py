@@ -36,23 +36,30 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
         rest, need = int(left.sum()), int(n)
         for s in range(len(shards)):
             rest -= int(left[s])
-            out[b, s] = rng.hypergeometric(left[s], rest, need) if need and left[s] and rest < 10**9 else _large(rng, int(left[s]), rest, need)
+            out[b, s] = rng.hypergeometric(left[s], rest, need) if need and left[s] and max(rest, left[s]) < 10**9 else _large(rng, int(left[s]), rest, need)
             need -= out[b, s]
         left -= out[b]
     return out
 
 
 def _large(rng, good: int, bad: int, n: int) -> int:
-    """Beyond the generator's range of 10**9: the normal law with the same mean and variance, held within bounds."""
+    """Beyond the generator's range of 10**9: inversion of the same law, whose weights follow from the mode's by their ratios.
+
+    Twelve standard deviations and fifty on both sides leave out less than a double can tell.
+    """
     if not good or not n:
         return 0
     if not bad:
         return min(good, n)
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean, var = n * good / total, n * good / total * bad / total * (total - n) / max(1, total - 1)
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, var**0.5)))))
+    total, least, most = good + bad, max(0, n - bad), min(good, n)
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+    reach = int(12 * (n * good / total * bad / total * (total - n) / max(1, total - 1)) ** 0.5) + 50
+    first, last = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    ratio = (good - k) / (k + 1) * ((n - k) / (bad - n + k + 1))  # of the weights of k + 1 and k
+    at = mode - first
+    weights = np.concatenate([np.cumprod(1 / ratio[:at][::-1])[::-1], [1.0], np.cumprod(ratio[at:])]).cumsum()
+    return first + min(last - first, int(np.searchsorted(weights, rng.random() * weights[-1], side="right")))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
