@@ -322,6 +322,16 @@ def test_language_id(spark, odd):
     assert out.columns == odd.columns and not {5, 6, 7, 16} & {r.doc_id for r in out.collect()}
 
 
+def test_language_id_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GRAMS", 20)
+    rows = [(i, " ".join(a + b + c for a in "abcd" for b in "abcd" for c in "abcd"), "many") for i in range(30)] + [(i, "xyz zyx", "rare") for i in (101, 102, 103) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert rows[-1][2] == "rare" and set(language_id.train(docs).languages) == {"many", "rare"}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.train(docs)
+
+
 def test_viterbi_against_all():
     rng = np.random.default_rng(6)
     import itertools

@@ -10,7 +10,7 @@ ids), and keeps at most ``GRAMS`` trigrams a language; prediction reads every wo
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no spans; so is any text if
 nothing is learned. Words without letters belong to the span around them. Words in a script that no learned
-language uses tell nothing. Null labels are not learned from. Long texts are labelled whole. An empty table
+language uses tell nothing. Null labels are not learned from; more than ``MAX_LANGUAGES`` labels are an error. Long texts are labelled whole. An empty table
 gives an empty result; other columns are not read.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ready
@@ -160,14 +160,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model from documents outside the held-out third."""
     spark = ready(docs)
     rows = docs.select(*pick(docs, doc_id, text, lang)).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, train_docs / r.n))]) if sizes else F.lit(None)
     if not sizes:
         return Model([])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the sample bounds the counts; of each language the most frequent GRAMS are kept
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS * len(sizes)).collect()
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    kept = ranked.where(F.col("rank") <= GRAMS).orderBy(F.desc("n"), "lang", "gram").collect()
     return Model([(r.lang, r.gram, r.n) for r in kept])
 
 
