@@ -8,6 +8,8 @@ one of its text and passes straight through; only the others shuffle and are gro
 
 The filter has 16 bits for each row and at most ``max_filter_bytes`` (64 MB unless told otherwise), which
 bounds what is broadcast. A filter at its bound flags more single rows; they shuffle and come out the same.
+Texts stay in the JVM: only two hashes of each go through Python, where the filter is made. A group's one
+result row meets its rows by join_groups, so the rows of a very frequent text never gather in a task.
 
 Defined cases: a null text counts as empty and equals an empty one. Texts are equal when their bytes are,
 after lower-casing A-Z only. The row with the largest doc_id stays (null ids rank lowest); of rows that
@@ -17,157 +19,62 @@ their names, are left alone.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..workers import ready
 from . import bloom
-from .shared import durable, release, text_array
+from .shared import LETTERS, durable, join_groups, lowered, pick
 
 MAX_FILTER_BYTES = 64 << 20
-#: Keys that a map task holds before it sends the slots they set.
-KEYS_HELD = 1 << 20
-
-
-def _digests(told):
-    """Adds the digest of the last column, and whether the filter has it if there is one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            *rest, text = batch.columns
-            plain = pc.ascii_lower(text_array(text)).cast(pa.binary())
-            sha = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in plain], pa.binary())
-            more = [pa.array(told.value.contains(hash_of(sha)) if batch.num_rows else np.zeros(0, bool))] if told else []
-            yield pa.RecordBatch.from_arrays([*rest, sha, *more], names=[*batch.schema.names[:-1], "__sha", *(["__maybe"] if told else [])])
-
-    return run
-
-
-def with_digest(docs: DataFrame, columns: list[str], text: str = "text", told=None) -> DataFrame:
-    """The columns named as c0, c1 ..., __sha (SHA-256 of each normalised text) and, with a filter told, __maybe."""
-    kinds = {f.name: f for f in docs.schema.fields}
-    schema = T.StructType([T.StructField(f"c{i}", kinds[c].dataType) for i, c in enumerate(columns)] + [T.StructField("__sha", T.BinaryType())] + ([T.StructField("__maybe", T.BooleanType())] if told else []))
-    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text}`").alias("__text"))
-    return held.mapInArrow(_digests(told), schema)
-
-
-def hash_of(sha: pa.Array) -> np.ndarray:
-    """64-bit hashes: the first eight bytes of each digest."""
-    data = np.frombuffer(b"".join(x[:8] for x in sha.to_pylist()), dtype=np.uint64)
-    return data
-
-
-def _slots(shape: bloom.Shape):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def send() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            slots = (shape.block_of(keys) * bloom.BLOCK_BITS)[:, None] + bloom.Shape.bits_of(keys)
-            slots.sort(axis=1)
-            slots = slots[np.concatenate([np.ones((len(slots), 1), bool), slots[:, 1:] != slots[:, :-1]], axis=1)]  # a key's equal slots count once
-            slot, n = np.unique(slots, return_counts=True)
-            block, at = slot // bloom.BLOCK_BITS, (slot % bloom.BLOCK_BITS).astype(np.uint16)
-            cut = np.flatnonzero(np.diff(block)) + 1
-            rows = [(int(b[0]), a.tobytes(), np.packbits(m > 1).tobytes()) for b, a, m in zip(np.split(block, cut), np.split(at, cut), np.split(n, cut))]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "slots", "several"])
-
-        for batch in batches:
-            held.append(hash_of(batch.column(0)))
-            if sum(map(len, held)) >= KEYS_HELD:
-                yield send()
-                held = []
-        if sum(map(len, held)):
-            yield send()
-
-    return run
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come sorted, so one block's counters are held at a time."""
-    now, once, more = None, None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bloom.packed(more)], pa.binary())], names=["block", "bits"])
-
-    for batch in batches:
-        for block, slots, several in zip(*(c.to_pylist() for c in batch.columns)):
-            if block != now:
-                if now is not None:
-                    yield done()
-                now, once, more = block, np.zeros(bloom.BLOCK_BITS, bool), np.zeros(bloom.BLOCK_BITS, bool)
-            at = np.frombuffer(slots, np.uint16)
-            more[at] |= once[at] | np.unpackbits(np.frombuffer(several, np.uint8), count=len(at)).astype(bool)
-            once[at] = True
-    if now is not None:
-        yield done()
-
-
-def repeated_filter(hashed: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> bloom.Filter:
-    """Pass one, over a frame whose only column holds digests."""
-    shape = bloom.Shape(rows, max_bytes=max_filter_bytes)
-    sent = hashed.mapInArrow(_slots(shape), "block long, slots binary, several binary")
-    merged = sent.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, "block long, bits binary")
-    # at most shape.blocks rows of 8 KB: max_filter_bytes in all
-    return bloom.Filter(shape, [(r.block, bytes(r.bits)) for r in merged.toLocalIterator()])
-
 
-def _flagged(told):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = told.value.contains(hash_of(batch.column(batch.num_columns - 1))) if batch.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "__maybe"])
 
-    return run
+def digest(text: str) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(lowered(F.coalesce(F.col(f"`{text}`"), F.lit(""))), 256))
 
 
-def _with_flag(frame: DataFrame, told) -> DataFrame:
-    return frame.mapInArrow(_flagged(told), T.StructType([*frame.schema.fields, T.StructField("__maybe", T.BooleanType())]))
+def _maybe_repeated(frame: DataFrame, hashed: DataFrame, max_filter_bytes: int) -> tuple[DataFrame, int]:
+    """frame (with __sha) and __maybe, false only for rows that are alone; and the rows of hashed, which has all rows' __sha."""
+    ready(frame)
+    n = hashed.count()
+    shape = bloom.Shape(n, max_bytes=max_filter_bytes)
+    blocks = durable(bloom.repeated_blocks(hashed.select(*bloom.spots("__sha")), shape), "filter")
+    return bloom.flagged(frame, blocks, shape, "__maybe", "__sha"), n
 
 
 def exact_dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = ready(docs)
-    table = durable(with_digest(docs, [doc_id], text).withColumn("uid", F.monotonically_increasing_id()).select(F.col("c0").alias("doc_id"), "uid", "__sha"), "digests")
-    told = spark.sparkContext.broadcast(repeated_filter(table.select("__sha"), table.count(), max_filter_bytes))
-    marked = _with_flag(table, told)
+    table = durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), digest(text).alias("__sha")), "digests")
+    marked, n = _maybe_repeated(table, table, max_filter_bytes)
     alone = marked.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__sha")
     again = marked.where("__maybe").drop("__maybe")
-    groups = again.groupBy("__sha").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best"))
-    shared = again.join(groups, "__sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "__sha")
+    groups = durable(again.groupBy("__sha").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best")), "groups")
+    shared = join_groups(again, groups, ["__sha"], "group_size", n).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "__sha")
     return alone.unionByName(shared).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("__sha")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; only possible repeats are shuffled, merged on the way by partial aggregation."""
-    spark = ready(docs)
     names = docs.columns
-    hashed = durable(with_digest(docs, [], text), "digests")
-    told = spark.sparkContext.broadcast(repeated_filter(hashed, hashed.count(), max_filter_bytes))
-    marked = with_digest(docs, names, text, told)
+    hashed = durable(docs.select(digest(text).alias("__sha")), "digests")
     held = [f"c{i}" for i in range(len(names))]
-    order = f"c{names.index(doc_id)}"
+    order = held[names.index(doc_id)]
+    every = docs.select(*[c.alias(h) for c, h in zip(pick(docs, *names), held)], digest(text).alias("__sha"))
+    marked, _ = _maybe_repeated(every, hashed, max_filter_bytes)
     alone = marked.where(~F.col("__maybe")).select(*held)
     # of rows with one text and one doc_id, the one with the largest hash of all columns stays
     again = marked.where("__maybe").groupBy("__sha").agg(F.max_by(F.struct(*held), F.struct(order, F.xxhash64(*held))).alias("row")).select("row.*")
-    return alone.unionByName(again).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return alone.unionByName(again).select(*[F.col(h).alias(c) for h, c in zip(held, names)])
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL = """
+SQL = f"""
 WITH d AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  SELECT doc_id, translate(coalesce(text, ''), '{LETTERS[0]}', '{LETTERS[1]}') AS t FROM documents
 )
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256

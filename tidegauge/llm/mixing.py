@@ -8,7 +8,12 @@ until each is 0 or 1 but for two. What blocks leave open meets in fewer, then in
 come nearest is taken.
 
 Blocks depend on the documents' hashes and not on partitions, and are sorted and seeded by what they hold,
-so reruns agree. A hot source has many blocks; each holds about ``BLOCK_ROWS`` compact rows, never texts.
+so reruns agree. Large documents fly first, so the few that are left to round are small. A hot source has many
+blocks; each holds about ``BLOCK_ROWS`` compact rows, never texts. Words are counted by DataFrame functions.
+
+Rows that repeat others (id, source and text) are numbered, so that they spread over blocks too. The mix itself
+joins each document with its copies; rows that repeat others share what was drawn for all of them, told apart by
+partition, so that none of their groups gathers in a task.
 
 Defined cases: a null text has size 0; null sources form one source, ordered last; rows that repeat others
 are drawn on their own. A source of size 0 has target 0. Null doc_ids are drawn like others. An empty table
@@ -17,16 +22,13 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from .shared import durable, pick, release, text_array, word_counts
+from .shared import durable, join_groups, numbered, pick, release, word_count
 
 #: The weights that sources take in turn, and the most that a target may be of its source.
 WEIGHTS = (5, 2, 1)
@@ -106,7 +108,8 @@ def land(p: list[float], size: list[float]) -> None:
 
 def _flown(seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "doc_id", "size"], kind="mergesort", na_position="last").reset_index(drop=True)
+        release()
+        rows = rows.sort_values(["size", "h", "doc_id", "nth"], ascending=[False, True, True, True], kind="mergesort", na_position="last").reset_index(drop=True)
         last = bool(rows["blocks"].iloc[0] == 1)
         draw = np.random.default_rng([seed, int(key[0]), int(key[1]), int(rows["blocks"].iloc[0]), len(rows)]).random
         p, size = rows["p"].tolist(), rows["size"].astype(float).tolist()
@@ -118,18 +121,13 @@ def _flown(seed: int):
     return run
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_counts(text_array(batch.column(3))), pa.int64())], names=["doc_id", "source", "h", "size"])
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, source, h (hash of the row's id, source and text), size, source_size, target and copies of each row."""
     spark = ready(docs)
-    given = docs.select(*pick(docs, doc_id, source), F.xxhash64(F.lit(seed), *pick(docs, doc_id, source, text)), *pick(docs, text)).toDF("doc_id", "source", "h", "text")
     id_kind = docs.schema[doc_id].dataType.simpleString()
-    sized = durable(given.mapInArrow(_sizes, f"doc_id {id_kind}, source string, h long, size long"), "sizes")
+    size = word_count(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    given = docs.select(*pick(docs, doc_id, source), F.xxhash64(F.lit(seed), *pick(docs, doc_id, source, text)), size).toDF("doc_id", "source", "h", "size")
+    sized = durable(numbered(given.withColumn("source", F.col("source").cast("string")), "nth"), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -142,9 +140,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         plan.append((i, r.source, r.size, t, base, max(0.0, rate - base), max(1, -(-r.n // block_rows))))
     table = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, base long, p double, blocks long").withColumnRenamed("source", "of")
     units = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of"))).drop("of")  # MAX_SOURCES rows at most
-    cols = ["doc_id", "source", "h", "size", "source_size", "target", "base", "sid", "blocks", "block", "p"]
-    now = units.withColumn("block", F.pmod("h", "blocks")).select(*cols)
-    schema = f"doc_id {id_kind}, source string, h long, size long, source_size long, target double, base long, sid int, blocks long, block long, p double"
+    cols = ["doc_id", "source", "h", "nth", "size", "source_size", "target", "base", "sid", "blocks", "block", "p"]
+    now = units.withColumn("block", F.pmod(F.xxhash64("h", "nth"), "blocks")).select(*cols)
+    schema = f"doc_id {id_kind}, source string, h long, nth long, size long, source_size long, target double, base long, sid int, blocks long, block long, p double"
     most_blocks = max([1, *(x[6] for x in plan)])
     done = None
     while True:
@@ -161,17 +159,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **more) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns. Equal rows share what was drawn for them."""
     names = docs.columns
-    seed = more.get("seed", SEED)
-    copies = mix(docs, doc_id=doc_id, source=source, text=text, **more).groupBy(F.col("h").alias("__h"), F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64(F.lit(seed), *pick(docs, doc_id, source, text)).alias("h"))
-    id_ = F.col(f"c{names.index(doc_id)}")
-    joined = keyed.join(copies.where("__copies > 0"), (F.col("h") == F.col("__h")) & id_.eqNullSafe(F.col("__id")))
-    # of n equal rows the r-th has copies // n, and one more if r is below the rest
-    from pyspark.sql import Window
-
-    place = F.when(F.col("__n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("h", id_).orderBy(F.lit(0))))
-    times = (F.floor(F.col("__copies") / F.col("__n")) + (place <= F.col("__copies") % F.col("__n")).cast("long")).cast("int")
-    return joined.withColumn("__times", times).withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    held = [f"c{i}" for i in range(len(names))]
+    key = ["h", held[names.index(doc_id)]]
+    drawn = durable(mix(docs, doc_id=doc_id, source=source, text=text, **more).select("h", F.col("doc_id").alias(key[1]), "copies"), "drawn")
+    total = drawn.count()
+    groups = drawn.groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
+    groups = durable(groups.where("__copies > 0 or __n > 1"), "copies")
+    keyed = docs.select(*[c.alias(h) for c, h in zip(pick(docs, *names), held)], F.xxhash64(F.lit(more.get("seed", SEED)), *pick(docs, doc_id, source, text)).alias("h"))
+    joined = join_groups(keyed, groups, key, "__n", total).where("__copies > 0")
+    every = joined.where("__n = 1").select(*held, F.col("__copies").alias("__times"))
+    if groups.where("__n > 1").limit(1).count():
+        every = every.unionByName(_shared_out(joined.where("__n > 1"), key, held))
+    return every.withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*[F.col(h).alias(c) for h, c in zip(held, names)])
+
+
+def _shared_out(joined: DataFrame, key: list[str], held: list[str]) -> DataFrame:
+    """Rows of groups of several with __times: of n equal rows each has copies // n, and the first ones have one more.
+
+    Which are first is told by partition and place there: counts by partition first, then ranks within one.
+    """
+    rows = durable(joined.withColumn("__part", F.spark_partition_id()), "equal")
+    counts = rows.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__own"))
+    before = F.coalesce(F.sum("__own").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__part").alias("__at"), before.alias("__before"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key, "__part").orderBy(F.lit(0))))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key] + [F.col("__part") == F.col("__at")]
+    placed = ranked.join(starts, on)
+    more = (F.col("__before") + F.col("__rank") <= F.col("__copies") % F.col("__n")).cast("long")
+    return placed.select(*held, (F.floor(F.col("__copies") / F.col("__n")) + more).alias("__times"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

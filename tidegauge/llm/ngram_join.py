@@ -19,7 +19,10 @@ bound leaves, told by a bounded Bloom filter.
 Defined cases: texts with fewer words than a shingle are one shingle of all their words; texts that are null
 or have no words have the empty set and link with nothing; rows that repeat others link; null doc_ids do
 not name a component unless all its rows have none. Very long words and texts are hashed whole. An empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read, and are kept by near_dedup.
+
+jaccard_links decides all pairs of classes instead of what components need, so it costs the square of a group of near
+copies; jaccard_components doesn't.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from . import bloom
+from .bloom import key_filter
 from .components import components
-from .shared import IS_BREAK, durable, mix64, pick, random_table, release, text_array, text_buffer
+from .shared import IS_BREAK, durable, join_groups, mix64, pick, random_table, release, text_array, text_buffer
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -323,41 +326,6 @@ def _sets(told, width: int):
     return run
 
 
-def _key_slots(shape: bloom.Shape):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = batch.column(0).to_numpy().view(np.uint64)
-                slots = np.unique(((shape.block_of(keys) * bloom.BLOCK_BITS)[:, None] + bloom.Shape.bits_of(keys)).ravel())
-                block, at = slots // bloom.BLOCK_BITS, (slots % bloom.BLOCK_BITS).astype(np.uint16)
-                cut = np.flatnonzero(np.diff(block)) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(block[[0, *cut]]), pa.array([x.tobytes() for x in np.split(at, cut)], pa.binary())], names=["block", "slots"])
-
-    return run
-
-
-def _key_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come sorted, so one is held at a time."""
-    now, bits = None, np.zeros(0, bool)
-    for batch in batches:
-        for block, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if block != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bloom.packed(bits)], pa.binary())], names=["block", "bits"])
-                now, bits = block, np.zeros(bloom.BLOCK_BITS, bool)
-            bits[np.frombuffer(slots, np.uint16)] = True
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bloom.packed(bits)], pa.binary())], names=["block", "bits"])
-
-
-def key_filter(keys: DataFrame, n: int, max_bytes: int = MAX_FILTER_BYTES) -> bloom.Filter:
-    """A Bloom filter of a long column, at most max_bytes large; each block reaches the driver once."""
-    shape = bloom.Shape(n, max_bytes=max_bytes)
-    slots = keys.mapInArrow(_key_slots(shape), "block long, slots binary")
-    rows = slots.repartition("block").sortWithinPartitions("block").mapInArrow(_key_blocks, "block long, bits binary")
-    return bloom.Filter(shape, [(r.block, bytes(r.bits)) for r in rows.toLocalIterator()])
-
-
 class _Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int):
         self.width, self.spark = width, ready(docs)
@@ -366,7 +334,7 @@ class _Join:
         kind = docs.schema[doc_id].dataType.simpleString()
         given = self.docs.select("doc_id", F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("uid"), "text")
         self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, row long, uid long, n long, cls binary, prefix binary, bits binary, rare long"), "sketches")
-        first = self.table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
+        first = self.table.where("cls is not null").groupBy("cls").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
         self.classes = durable(first, "classes")
         self.bits = self.table.where("bits is not null").select("cls", "bits")
 
@@ -380,29 +348,53 @@ class _Join:
         named = durable(self.classes.select("rep", "cls", "first_doc").join(ends, "rep"), "ends")
         if not (n := named.count()):
             return left
-        wanted = self.spark.sparkContext.broadcast(key_filter(self.table.join(named.select(F.col("rep").alias("uid")), "uid").select(F.xxhash64("doc_id").alias("key")), n))
+        wanted = self.spark.sparkContext.broadcast(key_filter(self.table.join(named.select(F.col("rep").alias("uid")), "uid").select(F.xxhash64("doc_id").alias("key")), n, MAX_FILTER_BYTES))
         sets = self.docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_sets(wanted, self.width), "cls binary, own binary")
         own = durable(named.join(sets, "cls").groupBy("rep").agg(F.first("own").alias("own")), "sets")
         full = left.join(own.withColumnRenamed("own", "own_b"), left.b == own.rep).drop("rep").join(own.withColumnRenamed("own", "own_a"), F.col("a") == F.col("rep")).select("a", "b", "own_a", "own_b")
         return durable(full.mapInArrow(_decided, "a long, b long"), "links")
 
-    def run(self) -> DataFrame:
+    def tiles(self) -> DataFrame:
+        """Rows of tiles: key, rep, n, place, the first of the row's band (lead), and whether the two may link (tried)."""
         one = self.table.where("prefix is not null").groupBy("cls").agg(F.min_by(F.struct("n", "rare", "prefix"), "uid").alias("x"))
         rows = one.join(self.classes.select("cls", "rep"), "cls").select("rep", "x.n", "x.rare", "x.prefix")
         postings = rows.mapInArrow(_exploded, "key long, rare long, rep long, n long, place long")
-        tiles = durable(postings.repartition("key").sortWithinPartitions("key", "rare", "n", "rep").mapInArrow(_bands, "key long, rep long, n long, place long, lead long, tried boolean"), "tiles")
-        first = self.decided(tiles.where("tried and rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+        return durable(postings.repartition("key").sortWithinPartitions("key", "rare", "n", "rep").mapInArrow(_bands, "key long, rep long, n long, place long, lead long, tried boolean"), "tiles")
+
+    def first_round(self, tiles: DataFrame) -> DataFrame:
+        return self.decided(tiles.where("tried and rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+
+    def second_round(self, rows: DataFrame) -> DataFrame:
+        """Links between rows of different comp, but for those of the first round. rows: those of tiles, with comp."""
+        given = rows.select("key", "n", "rep", "place", F.when(F.col("tried"), F.col("lead")).otherwise(-1).alias("lead"), "comp")
+        return self.decided(given.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_across, "a long, b long").distinct())
+
+    def components(self) -> DataFrame:
+        """node and label of the classes (rep) that link with others."""
+        tiles = self.tiles()
+        first = self.first_round(tiles)
         found = components(first)
-        joined = tiles.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", "place", F.when(F.col("tried"), F.col("lead")).otherwise(-1).alias("lead"), F.coalesce("label", "rep").alias("comp"))
-        open_ = joined.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_across, "a long, b long").distinct()
-        second = self.decided(open_)
+        second = self.second_round(tiles.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")))
         return components(first.unionByName(second))
 
+    def links(self) -> DataFrame:
+        """All pairs (a, b: rep) of classes that link."""
+        tiles = self.tiles()
+        return durable(self.first_round(tiles).unionByName(self.second_round(tiles.withColumn("comp", F.col("rep")))).distinct(), "links")
+
+    def with_classes(self, of: DataFrame) -> DataFrame:
+        """The rows that have shingles (doc_id, row, n) with the columns of their class (cls, times and others)."""
+        rows = self.table.where("cls is not null").select("doc_id", "row", "n", "cls")
+        return join_groups(rows, of, ["cls"], "times", self.table.count())
+
+    def empty(self) -> DataFrame:
+        return self.table.where("cls is null").select("doc_id", "n")
+
 
 def _labelled(join: _Join) -> DataFrame:
-    """cls, first_doc and label (the component's rep) of each class."""
-    found = join.run()
-    return durable(join.classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "first_doc", F.coalesce("label", "rep").alias("label")), "labels")
+    """cls, first_doc, times and label (the component's rep) of each class."""
+    found = join.components()
+    return durable(join.classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "first_doc", "times", F.coalesce("label", "rep").alias("label")), "labels")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
@@ -410,21 +402,34 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     join = _Join(docs, doc_id, text, width)
     named = _labelled(join)
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of = named.join(least, "label").select("cls", "component_id")
-    rows = join.table.select("doc_id", "n", "cls")
-    some = rows.where("cls is not null").join(of, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(rows.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of = durable(named.join(least, "label").select("cls", "times", "component_id"), "of")
+    some = join.with_classes(of).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(join.empty().select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, class_id, n_links: how many other rows link with it), and all links between different classes (class_a, class_b)."""
+    join = _Join(docs, doc_id, text, width)
+    side = join.classes.select("rep", "cls", "times")
+    pairs = join.links()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(side.select(F.col("rep").alias("b"), "times"), "b").groupBy("a").agg(F.sum("times").alias("others"))
+    of = durable(side.join(linked, F.col("rep") == F.col("a"), "left").select("cls", "times", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "of")
+    name = lambda c: F.lower(F.hex(c))
+    some = join.with_classes(of).select("doc_id", F.col("n").alias("n_shingles"), name("cls").alias("class_id"), "n_links")
+    rows = some.unionByName(join.empty().select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("string").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    ends = [side.select(F.col("rep").alias(x), name("cls").alias(f"class_{x}")) for x in ("a", "b")]
+    return rows, pairs.join(ends[0], "a").join(ends[1], "b").select("class_a", "class_b")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
     """The documents, all columns kept, but one of each component: the row with the smallest doc_id (null ids last). Texts without words all stay."""
     join = _Join(docs, doc_id, text, width)
-    named = _labelled(join).select("cls", "label")
-    rows = join.table.where("cls is not null").select("doc_id", "row", "cls").join(named, "cls")
+    rows = join.with_classes(_labelled(join).select("cls", "times", "label"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     rows = durable(rows.groupBy("label", "doc_id", "row").agg(F.count(F.lit(1)).alias("times")), "rows")
-    best = rows.groupBy("label").agg(F.min(order).alias("best"))
-    marked = durable(rows.join(best, "label").withColumn("kept", order == F.col("best")).where("not kept or times > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "kept"), "marked")
+    best = durable(rows.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("members")), "best")
+    marked = durable(join_groups(rows, best, ["label"], "members", rows.count()).withColumn("kept", order == F.col("best")).where("not kept or times > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "kept"), "marked")
     n = marked.count()
     told = F.broadcast(marked) if n <= MAX_BROADCAST else marked  # 40 bytes a row
     names = docs.columns

@@ -2,44 +2,110 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bytes that separate words, and the pattern of a word.
+#: The bytes that separate words, and a word with the breaks before it.
 WORD_BREAKS = (9, 10, 11, 12, 13, 32)
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+BREAKS_AND_WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
+
+LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Groups that are broadcast because they are large: at most so many, since each holds that part of all rows.
+LARGE_GROUPS = 4096
+#: Equal rows that are made again at once.
+STRETCH = 100_000
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[list(WORD_BREAKS)] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a local one is set only if none is."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where none is set, a local one serves a session of one machine; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The folder is removed when the driver's JVM ends.
+    The folder is removed when the driver's JVM ends, or by forget().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the folder of a durable frame that nothing reads any more."""
+    target, files = _path(df.sparkSession, _WRITTEN.pop(df))
+    files.delete(target, True)
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case and nothing else; texts of ASCII only, most often, take the short way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, *LETTERS))
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text without null: each, with the breaks before it, becomes one letter, so memory is that of the text."""
+    trimmed = F.rtrim(text, F.lit("".join(map(chr, WORD_BREAKS))))
+    return F.octet_length(F.regexp_replace(trimmed, BREAKS_AND_WORD, "w")).cast("long")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of their group's one row; keys may be null.
+
+    Groups of more than one in LARGE_GROUPS of all rows are broadcast (there can't be more of them than that), so
+    no task gets a large group whole; the others are joined by shuffle.
+    """
+    least = max(2, total // LARGE_GROUPS)
+    named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    drop = [f"__{k}" for k in keys]
+    every = rows.join(F.broadcast(named.where(F.col(size) >= least)), on, "left")
+    rest = every.where(F.col(size).isNull()).select(*rows.columns).join(named.where(F.col(size) < least), on)
+    return every.where(F.col(size).isNotNull()).drop(*drop).unionByName(rest.drop(*drop))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Compact rows with a number (column name: 0, 1 ...) among the rows that equal them in all columns.
+
+    Equal rows are counted, by partial aggregation, and made again, STRETCH of them in a task at most. So numbers
+    depend on the rows alone, and later steps can tell and spread rows that are equal.
+    """
+    columns = rows.columns
+    counts = durable(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    once = counts.where("__n = 1").select(*columns, F.lit(0).cast("long").alias(name))
+    again = counts.where("__n > 1").withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(STRETCH).cast("long"))))
+    again = again.repartition(*columns, "__first").withColumn(name, F.explode(F.sequence(F.col("__first"), F.least(F.col("__n"), F.col("__first") + STRETCH) - 1)))
+    return once.unionByName(again.select(*columns, name))
 
 
 def pick(df: DataFrame, *names: str) -> list:
@@ -62,20 +128,6 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def word_counts(column: pa.Array) -> np.ndarray:
-    """Words of each text of a string array without nulls, counted over the whole buffer at once."""
-    offsets, raw = text_buffer(column)
-    if not len(raw):
-        return np.zeros(len(column), np.int64)
-    inside = ~IS_BREAK[raw]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    at = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[at] = inside[at]
-    seen = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-    return seen[offsets[1:]] - seen[offsets[:-1]]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values one to one (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -99,11 +151,16 @@ _MEMO: dict = {}
 def memo(key, make):
     """The memo of that key, made anew if the worker holds another's."""
     if key not in _MEMO:
-        _MEMO.clear()
+        release()
         _MEMO[key] = make()
     return _MEMO[key]
 
 
 def release() -> None:
-    """Forget another operator's memo; workers outlive stages."""
+    """Forget another operator's memo and give free memory back to the system; workers outlive stages."""
     _MEMO.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only this C library has it
+        pass
