@@ -2,17 +2,22 @@
 
 A gear hash over the last 16 bytes decides where chunks end, so the same passage is cut at the same places
 whatever stands before it, and an insertion shifts nothing. Chunks of about 24 bytes are told apart by a
-64-bit digest. The document with the smallest doc_id keeps a chunk; everywhere else, and where a text
-repeats itself, the chunk is a repeat. Repeats that follow each other make a passage; passages of at least
-``MIN_BYTES`` are reported and cut out, shorter ones are chance or common phrases.
-
-Digests are counted with partial aggregation, so a passage in a third of all documents costs a row for each
-task. A bounded Bloom filter of the repeated digests keeps single chunks out of the join that follows, whose
-large keys Spark may split. Passages are put together from rows sorted by document, one at a time.
+64-bit digest. Chunks that follow each other, and are repeats that follow each other in one other document too (or
+earlier in the same one), make a passage; passages of at least ``MIN_BYTES`` are reported and cut out, shorter
+ones are chance or common phrases. So a passage stands as a whole in the document named with it.
+
+Pass one folds all digests into a counting filter of bounded size (op3's, with one slot a digest). Pass two
+keeps chunks only where neighbours that the filter knows as repeats come to ``MIN_BYTES``: nothing else shuffles.
+Of what is left, the document with the smallest doc_id keeps a chunk, by partial aggregation, so a passage in a third
+of all documents costs a row for each task; the others are joined with it, and Spark may split large keys.
+Passages are put together from rows sorted by document, one at a time. A filter at its bound takes more chunks for
+repeats: these shuffle, find no keeper and go. They may lengthen a short stretch of repeats until it is looked at, and
+so decide which of several documents is named for a chunk.
 
 Defined cases: null and empty texts have no chunks. Rows of one doc_id, null included, count as one document
-and do not repeat each other. Offsets count UTF-8 bytes and never cut a character. Content without cuts
-(one letter repeated) is cut every ``MAX_CHUNK`` bytes. An empty table gives an empty result; other columns
+and do not repeat each other; equal rows of one doc_id are reported once. A null doc_id keeps a chunk only if no other
+does. Offsets count UTF-8 bytes and never cut a character. Content without cuts (periodic, or one letter repeated) is
+cut at the smallest hash of each ``MAX_CHUNK`` bytes. An empty table gives an empty result; other columns
 are not read, and are kept by dedup_substrings.
 """
 
@@ -25,10 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workers import ready
-from .ngram_join import key_filter
-from .shared import durable, mix64, pick, random_table, release, text_array, text_buffer
+from .bloom import Shape, repeated_filter
+from .shared import durable, forget, mix64, pick, random_table, release, text_array, text_buffer
 
 WINDOW = 16
 MEAN_CHUNK = 24
@@ -74,9 +80,7 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
         out, last = [], 0
         for e in ends.tolist():
             while e - last > MAX_CHUNK:
-                last += MAX_CHUNK
-                while raw[last] & 0xC0 == 0x80:
-                    last -= 1
+                last = _least_cut(raw, last)
                 out.append(last)
             out.append(e)
             last = e
@@ -84,6 +88,15 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
     return ends
 
 
+def _least_cut(raw: np.ndarray, last: int) -> int:
+    """The end of the chunk from last, in content without cuts: the last place with the smallest hash that cuts no character."""
+    first = max(0, last - WINDOW)
+    at = np.arange(last + MIN_CHUNK, last + MAX_CHUNK + 1)
+    h = _gear(raw[first : last + MAX_CHUNK])[at - 1 - first].astype(np.int64)
+    h[(raw[at] & 0xC0) == 0x80] = 2**33
+    return int(at[len(at) - 1 - h[::-1].argmin()])
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     digest = xxhash.xxh3_64_intdigest
@@ -100,45 +113,79 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ends, pa.binary()), pa.array(digests, pa.binary())], names=["doc_id", "row", "ends", "digests"])
 
 
-def _spread(wanted):
-    """Chunks as rows; of those in the filter, if one is given, with place and whether the text had them before."""
+def _digests(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The digests of a batch's chunks, 256 texts at a time."""
+    for first in range(0, batch.num_rows, 256):
+        own = b"".join(batch.column(batch.num_columns - 1).slice(first, 256).to_pylist())
+        if own:
+            yield np.frombuffer(own, np.uint64)
+
+
+#: A chunk's place: the lower bits of its text's hash, then its number in the text.
+NUMBER_BITS = 24
+
+
+def _long_runs(hit: np.ndarray, text: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """Which chunks lie in runs of hits, each in one text, of at least so many bytes."""
+    begins = np.concatenate([[True], (hit[1:] != hit[:-1]) | (text[1:] != text[:-1])])
+    run = np.cumsum(begins) - 1
+    total = np.bincount(run, weights=size)
+    return hit & (total[run] >= least)
+
+
+def _spread(told, min_bytes: int, places: bool):
+    """Chunks in long runs of repeats: with places a row for each, else one for each digest of a text. Equal rows of a task are looked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+        release()
+        seen: set = set()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                part = whole.slice(first, 256)
+                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                new = [k not in seen and not seen.add(k) for k in keys]
+                part = part.filter(pa.array(new))
                 digests = [np.frombuffer(x, np.uint64) for x in part.column(3).to_pylist()]
-                size = np.array([len(x) for x in digests], np.int64)
-                if not size.sum():
+                count = np.array([len(x) for x in digests], np.int64)
+                if not count.sum():
                     continue
                 key = np.concatenate(digests)
-                row = np.repeat(np.arange(part.num_rows), size)
-                if wanted is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row))], names=["digest", "doc_id"])
-                    continue
+                text = np.repeat(np.arange(part.num_rows), count)
                 end = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column(2).to_pylist()]).astype(np.int64)
-                start = np.where(np.arange(len(end)) == np.repeat(np.cumsum(size) - size, size), 0, np.roll(end, 1))
-                again = np.ones(len(key), bool)
-                _, firsts = np.unique(mix64(key) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-                again[firsts] = False
-                hit = np.flatnonzero(wanted.value.contains(key))
-                yield pa.RecordBatch.from_arrays([pa.array(key[hit].view(np.int64)), part.column(0).take(pa.array(row[hit])), part.column(1).take(pa.array(row[hit])), pa.array(start[hit]), pa.array(end[hit]), pa.array(again[hit])], names=["digest", "doc_id", "row", "start", "end", "again"])
+                number = np.arange(len(end)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(number == 0, 0, np.roll(end, 1))
+                at = np.flatnonzero(_long_runs(told.value.contains(key), text, end - start, min_bytes))
+                if not len(at):
+                    continue
+                key, text, number = key[at], text[at], number[at]
+                _, firsts, which, times = np.unique(mix64(key) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True, return_counts=True)
+                doc, row = part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text))
+                if places:
+                    again = firsts[which] != np.arange(len(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), doc, row, pa.array(number.astype(np.int32)), pa.array(start[at].astype(np.int32)), pa.array(end[at].astype(np.int32)), pa.array(again)], names=["digest", "doc_id", "row", "number", "start", "end", "again"])
+                else:
+                    place = (row.to_numpy().astype(np.int64) << NUMBER_BITS) + number
+                    yield pa.RecordBatch.from_arrays([pa.array(key[firsts].view(np.int64)), doc.take(pa.array(firsts)), pa.array(place[firsts]), pa.array(times)], names=["digest", "doc_id", "place", "times"])
 
     return run
 
 
 def _passages(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list | None = None  # document, row, start, end, first document
+        now: list | None = None  # document, row, start, end, keeper; then number and place of the last chunk
+        last = (-1, -1)
         for batch in batches:
             out = []
-            for x in zip(*(c.to_pylist() for c in batch.columns)):
-                if now and now[:2] == [x[0], x[1]] and x[2] <= now[3]:  # the next chunk, or the same one of an equal row
-                    now[3] = x[3]
-                    continue
+            for doc, row, number, start, end, keeper, place in zip(*(c.to_pylist() for c in batch.columns)):
+                if now and now[0] == doc and now[1] == row:
+                    if number == last[0]:  # the same chunk of an equal row
+                        continue
+                    if (number, place) == (last[0] + 1, last[1] + 1) and now[4] == keeper:
+                        now[3], last = end, (number, place)
+                        continue
                 if now and now[3] - now[2] >= min_bytes:
                     out.append(now)
-                now = list(x)
+                now, last = [doc, row, start, end, keeper], (number, place)
             yield _rows(out, batch.schema)
         if now and now[3] - now[2] >= min_bytes:
             yield _rows([now], batch.schema)
@@ -147,7 +194,8 @@ def _passages(min_bytes: int):
 
 
 def _rows(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], names=schema.names)
+    kinds = (schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), schema.field("first_doc_id").type)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "row", "start", "end", "first_doc_id"])
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -156,14 +204,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.select(*pick(docs, doc_id), F.xxhash64(F.col(f"`{text}`")).alias("row"), *pick(docs, text)).toDF("doc_id", "row", "text")
     chunks = durable(given.mapInArrow(_chunked, f"doc_id {kind}, row long, ends binary, digests binary"), "chunks")
-    counts = chunks.mapInArrow(_spread(None), f"digest long, doc_id {kind}").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"))
-    shared = durable(counts.where("n > 1").drop("n"), "repeated")
-    wanted = spark.sparkContext.broadcast(key_filter(shared.select("digest"), shared.count(), max_filter_bytes))
-    hits = chunks.mapInArrow(_spread(wanted), f"digest long, doc_id {kind}, row long, start long, end long, again boolean")
+    n = chunks.agg(F.sum(F.octet_length("digests"))).first()[0] or 0
+    told = spark.sparkContext.broadcast(repeated_filter(chunks.select("digests"), _digests, Shape(n // 8, max_bytes=max_filter_bytes, probes=1)))
+    stats = chunks.mapInArrow(_spread(told, min_bytes, False), f"digest long, doc_id {kind}, place long, times long")
+    # of rows of one doc_id any may be named for a chunk; a place tells which
+    keeper = stats.groupBy("digest").agg(F.sum("times").alias("n"), F.min("doc_id").alias("first_doc_id"), F.coalesce(F.min_by("place", "doc_id"), F.min("place")).alias("place"))
+    shared = durable(keeper.where("n > 1").drop("n"), "repeated")
+    hits = chunks.mapInArrow(_spread(told, min_bytes, True), f"digest long, doc_id {kind}, row long, number int, start int, end int, again boolean")
     found = hits.join(shared, "digest").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    cols = ["doc_id", "row", "start", "end", "first_doc_id"]
-    ordered = found.select(*cols).repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start", "end")
-    return ordered.mapInArrow(_passages(min_bytes), f"doc_id {kind}, row long, start long, end long, first_doc_id {kind}")
+    ordered = found.select("doc_id", "row", "number", "start", "end", "first_doc_id", "place").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "number")
+    out = durable(ordered.mapInArrow(_passages(min_bytes), f"doc_id {kind}, row long, start long, end long, first_doc_id {kind}"), "passages")
+    for done in (chunks, shared):
+        forget(done)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +242,6 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id_, body = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     joined = held.join(spans, F.col(id_).eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__row")), "left")
     rest = [c for c in held.columns if c != body]
-    from pyspark.sql import types as T
-
     schema = T.StructType([held.schema[c] for c in [*rest, body]])
     out = joined.select(*rest, body, "__spans").mapInArrow(_cut, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
