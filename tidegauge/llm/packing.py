@@ -18,6 +18,7 @@ packed like any row; very long texts become many pieces; an empty table gives an
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ from .shared import durable, memo, pick, text_array
 CAPACITY = 2048
 BUCKET_ROWS = 500_000
 #: Words whose ids a worker remembers, and bytes of text for which it looks up words at once.
-WORDS_HELD = 800_000
+WORDS_HELD = 400_000
 CHUNK = 1 << 20
+#: Letters whose lower case may depend on those beside them, or be several.
+BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
 
 
 class WordIds:
@@ -68,25 +71,23 @@ class WordIds:
 
     def learn(self, words: list[list[bytes]]) -> None:
         every = set().union(*words)
-        new = every - self.of.keys()
+        of = self.of
+        new = [w for w in every if w not in of]
+        if len(of) + len(new) > WORDS_HELD:
+            of.clear()
+            self.plain = {"": b""}
+            new = list(every)
         if not new:
             return
-        if len(self.of) + len(new) > WORDS_HELD:
-            self.of.clear()
-            self.plain = {"": b""}
-            new = every
+        forms = b"\n".join(new).decode()
         # letters before one final stop or comma are tokens apart from it, and letters below U+0180 lower one by one
-        forms = []
-        for w in new:
-            body, tail = w.decode(), ""
-            if not body.isalpha() and body[-1] in ".," and body[:-1].isalpha():
-                body, tail = body[:-1], body[-1]
-            if body.isalpha() and (body.isascii() or max(body) < "ƀ"):
-                body = body.lower()
-            forms.append((w, body, tail))
-        self.encode(list({x for _, body, tail in forms for x in (body, tail) if x not in self.plain}))
+        low = forms.lower().split("\n")
+        if not forms.isascii() and BEYOND.search(forms):
+            low = [f if BEYOND.search(f) else x for x, f in zip(low, forms.split("\n"))]
+        bodies = [x[:-1] if x[-1] in ".," and x[:-1].isalpha() else x for x in low]
         plain = self.plain
-        self.of.update((w, plain[body] + plain[tail] if tail else plain[body]) for w, body, tail in forms)
+        self.encode(list({x for x in (*bodies, ".", ",") if x not in plain}))
+        of.update((w, plain[x] if len(x) == len(y) else plain[x] + plain[y[-1]]) for w, x, y in zip(new, bodies, low))
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -140,10 +141,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_
     return docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text").mapInArrow(_pieces(told, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def exact_fill(gap: int, there: np.ndarray, several: np.ndarray) -> list[int]:
-    """One, two or three available lengths with sum gap, larger ones first; none: []. there and several: lengths of which at least one, two are left."""
-    if there[gap]:
+def exact_fill(gap: int, left: np.ndarray) -> list[int]:
+    """One, two or three of the lengths left (left[length] of each) with sum gap, larger ones first; none: []."""
+    if left[gap]:
         return [gap]
+    there = left > 0
 
     def two(total: int, top: int) -> list[int]:
         low = (total + 1) // 2
@@ -152,20 +154,18 @@ def exact_fill(gap: int, there: np.ndarray, several: np.ndarray) -> list[int]:
             return []
         a = np.arange(high, low - 1, -1)
         fits = there[a] & there[total - a]
-        if total % 2 == 0 and low <= high:
-            fits[-1] = several[low]
+        if total % 2 == 0:
+            fits[-1] = left[low] > 1
         i = int(fits.argmax())
         return [int(a[i]), int(total - a[i])] if fits[i] else []
 
     if found := two(gap, gap - 1):
         return found
-    for a in np.flatnonzero(there[: max(gap - 1, 0)])[::-1]:  # the largest of three
-        if 3 * a < gap:
-            break
-        total = gap - int(a)
-        rest = [] if total == 2 * a else two(total, int(a) if several[a] else int(a) - 1)  # three of one length are left to best fit
-        if rest:
-            return [int(a), *rest]
+    for a in np.flatnonzero(there[: max(gap - 1, 0)])[::-1].tolist():  # the largest of three
+        if 3 * a <= gap:
+            return [a, a, a] if 3 * a == gap and left[a] > 2 else []
+        if found := two(gap - a, a if left[a] > 1 else a - 1):
+            return [a, *found]
     return []
 
 
@@ -185,7 +185,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         free, content, gap = left.copy(), [top], capacity - top
         free[top] -= 1
         while gap:
-            fill = exact_fill(gap, free > 0, free > 1)
+            fill = exact_fill(gap, free)
             if fill:
                 content += fill
                 break
@@ -234,8 +234,13 @@ def _placed(told):
     return run
 
 
+def told_apart(pieces: DataFrame) -> DataFrame:
+    """pieces as a durable table with a number of its own for each row, so that equal rows spread over buckets."""
+    return durable(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to durable rows of pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id and offset to the rows of told_apart (length, uid and what else they have), without uid."""
     spark = ready(pieces)
     found = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     counts = np.zeros(capacity + 1, np.int64)
@@ -243,18 +248,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int =
         counts[r.length] = r.n
     told = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     buckets = max(1, -(-int(counts.sum()) // bucket_rows))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = own.join(before, ["length", "bucket"]).select(*pieces.columns, (F.col("before") + F.col("own")).alias("rank"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid")) - 1)
+    kept = [c for c in pieces.columns if c != "uid"]
+    ranked = own.join(before, ["length", "bucket"]).select(*kept, (F.col("before") + F.col("own")).alias("rank"))
+    kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in kept)
     return ranked.mapInArrow(_placed(told), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The layout: one row for each piece with its place."""
-    return pack_pieces(durable(token_pieces(docs, tokenizer, capacity, doc_id, text), "pieces"), capacity, bucket_rows)
+    return pack_pieces(told_apart(token_pieces(docs, tokenizer, capacity, doc_id, text)), capacity, bucket_rows)
 
 
 def _joined(key: tuple, rows: pa.Table) -> pa.Table:
@@ -262,11 +268,13 @@ def _joined(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"sequence_id": rows.column("sequence_id")[:1], "ids": pa.array([b"".join(rows.column("ids").to_pylist())], pa.binary())})
 
 
-def sequence_tokens(docs: DataFrame, layout: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sequences themselves: sequence_id and ids as little-endian 32-bit integers. doc_id must tell documents apart."""
-    ids = token_pieces(docs, tokenizer, capacity, doc_id, text, with_ids=True).select("doc_id", "piece", "ids")
-    rows = layout.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"]).select("sequence_id", "offset", "ids")
-    return rows.groupBy("sequence_id").applyInArrow(_joined, "sequence_id long, ids binary")
+def sequence_tokens(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The sequences themselves: sequence_id and ids as little-endian 32-bit integers.
+
+    Pieces carry their ids to their places, so null and repeated doc_ids and equal rows are packed like any other.
+    """
+    placed = pack_pieces(told_apart(token_pieces(docs, tokenizer, capacity, doc_id, text, with_ids=True)), capacity, bucket_rows)
+    return placed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInArrow(_joined, "sequence_id long, ids binary")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
