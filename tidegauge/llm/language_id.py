@@ -6,12 +6,13 @@ the candidates. The Viterbi path over all words of a text, with a penalty for ea
 mixed-language text. The text's language is the one whose spans hold most letters, its score their share.
 
 Training reads a bounded sample, ``TRAIN_DOCS`` labelled documents a language (chosen by a hash of their
-ids), and keeps at most ``GRAMS`` trigrams a language; prediction reads every word of every text.
+ids), and keeps the most frequent trigrams of each language: ``GRAMS``, or with many languages as many as keep
+the table of trigrams by languages within ``MODEL_CELLS`` numbers. Prediction reads every word of every text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no spans; so is any text if
 nothing is learned. Words without letters belong to the span around them. Words in a script that no learned
-language uses tell nothing. Null labels are not learned from; more than ``MAX_LANGUAGES`` labels are an error. Long texts are labelled whole. An empty table
-gives an empty result; other columns are not read.
+language uses tell nothing. Null labels are not learned from; more than ``MAX_LANGUAGES`` labels are an error. Long texts are
+labelled whole. An empty table gives an empty result; other columns are not read, and are kept by identified.
 """
 
 from __future__ import annotations
@@ -54,10 +55,12 @@ SWITCH = 6.0
 WORD_MOST = 8.0
 WORDS_HELD = 300_000
 CHUNK = 4 << 20
-MAX_LANGUAGES = 500
+MAX_LANGUAGES = 256
+#: 32-bit numbers of the model's table, which is told to all tasks: 128 MB.
+MODEL_CELLS = 1 << 25
 UNKNOWN = "und"
-#: A text with a smaller share of one language is rejected by identified().
-LEAST_SCORE = 0.4
+#: identified() rejects a text of whose letters a smaller share is in words that some learned language may have written.
+LEAST_KNOWN = 0.5
 
 
 def script_of(letter: str) -> str:
@@ -125,9 +128,10 @@ class Model:
         self.table = np.stack([np.full(n, self.unseen), *self.grams.values()]).astype(np.float32)
         del self.grams
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by language, letters) of words, one row for each."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by language, letters, letters in a script that some language uses) of words, one row for each."""
         score, count = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), np.int64)
+        known = np.zeros(len(words), np.int64)
         flat: list[int] = []
         first, rows, scripts = [], [], defaultdict(list)
         index = self.index.get
@@ -152,8 +156,10 @@ class Model:
                 part = np.clip(part - part[:, may].mean(axis=1, keepdims=True), -WORD_MOST, WORD_MOST)
                 part[:, ~may] = -2 * WORD_MOST
                 total[own] = part
+                at = np.array(rows)[own]
+                known[at] = count[at]
             score[rows] = total
-        return score, count
+        return score, count, known
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
@@ -168,9 +174,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return Model([])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the sample bounds the counts; of each language the most frequent GRAMS are kept
+    # the sample bounds the counts; a table of n languages has n times these rows at most, and n columns
+    grams = min(GRAMS, MODEL_CELLS // len(sizes) ** 2)
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    kept = ranked.where(F.col("rank") <= GRAMS).orderBy(F.desc("n"), "lang", "gram").collect()
+    kept = ranked.where(F.col("rank") <= grams).orderBy(F.desc("n"), "lang", "gram").collect()
     return Model([(r.lang, r.gram, r.n) for r in kept])
 
 
@@ -204,30 +211,30 @@ class Scores:
     def clear(self) -> None:
         self.row: dict[bytes, int] = {}
         n = len(self.model.languages)
-        self.scores, self.letters = np.zeros((1 << 16, n), np.float32), np.zeros(1 << 16, np.int64)
+        self.scores, self.letters, self.known = np.zeros((1 << 16, n), np.float32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 1  # row 0 tells nothing
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.row) + len(words) > WORDS_HELD:
             self.clear()
-        new = list(words - self.row.keys())
+        new = [w for w in words if w not in self.row]
         end = self.used + len(new)
         while end > len(self.letters):
-            self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[self.used : end], self.letters[self.used : end] = self.model.words([w.decode() for w in new])
+            self.scores, self.letters, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.letters, self.known))
+        self.scores[self.used : end], self.letters[self.used : end], self.known[self.used : end] = self.model.words([w.decode() for w in new])
         self.row.update(zip(new, range(self.used, end)))
         self.used = end
 
 
-def label_texts(texts: list[bytes], held: Scores, spans: bool) -> list[tuple[str, float, list | None]]:
-    """(language, score, spans) of each text; a span is (first word, end word, language)."""
+def label_texts(texts: list[bytes], held: Scores, spans: bool) -> list[tuple[str, float, float, list | None]]:
+    """(language, score, known share of letters, spans) of each text; a span is (first word, end word, language)."""
     words = [x.split() for x in texts]
     held.learn(set().union(*words))
     get = held.row.__getitem__
     row = [np.fromiter(map(get, w), np.int64, len(w)) for w in words]
     scores, letters = held.scores, held.letters
     names, n = held.model.languages, len(held.model.languages)
-    out: list = [(UNKNOWN, 0.0, [] if spans else None)] * len(texts)
+    out: list = [(UNKNOWN, 0.0, 0.0, [] if spans else None)] * len(texts)
     order = sorted((i for i in range(len(texts)) if n and letters[row[i]].any()), key=lambda i: len(row[i]))
     k = 0
     while k < len(order):
@@ -250,7 +257,8 @@ def label_texts(texts: list[bytes], held: Scores, spans: bool) -> list[tuple[str
                 path = label[j, : len(row[i])]
                 cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                 own = [(a, b, names[path[a]]) for a, b in zip(cut, cut[1:])]
-            out[i] = (names[best], float(share[j, best] / share[j].sum()), own)
+            every = int(share[j].sum())
+            out[i] = (names[best], float(share[j, best] / every), float(held.known[row[i]].sum() / every), own)
     return out
 
 
@@ -267,28 +275,28 @@ def _predicted(told, key: str, spans: bool, at: int, kept: int):
                     found += label_texts(held, scores, spans)
                     held, size = [], 0
             found += label_texts(held, scores, spans) if held else []
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             if spans:
-                cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *cols], names=[*batch.schema.names[:kept], "lang_pred", "score", *(["spans"] if spans else [])])
+                cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f[3]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *cols], names=[*batch.schema.names[:kept], "lang_pred", "score", "known", *(["spans"] if spans else [])])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", spans: bool = False) -> DataFrame:
-    """The columns to keep with lang_pred, score and, if asked for, spans (in words)."""
-    told = ready(docs).sparkContext.broadcast(model)  # MAX_LANGUAGES x GRAMS at most
+    """The columns to keep (as c0, c1 ...) with lang_pred, score, known (share of letters in scripts of learned languages) and, if asked for, spans (in words)."""
+    told = ready(docs).sparkContext.broadcast(model)  # MODEL_CELLS numbers and their trigrams at most
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
+    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string, score double, known double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans])
     given = keep if text in keep else [*keep, text]
     return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)]).mapInArrow(_predicted(told, uuid.uuid4().hex, spans, given.index(text), len(keep)), schema)
 
 
-def identified(docs: DataFrame, least: float = LEAST_SCORE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, all columns kept, whose language is found with at least that score."""
+def identified(docs: DataFrame, least: float = LEAST_KNOWN, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents, all columns kept, whose language is found; texts of several languages too, if at least that share of their letters is in scripts of learned languages."""
     names = docs.columns
     found = predict(docs, train(docs, doc_id, text, lang), names, text)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def held_out(doc_id: str = "doc_id"):
