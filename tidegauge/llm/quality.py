@@ -111,7 +111,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", character_distance: float = CHARACTER_DISTANCE, word_distance: float = WORD_DISTANCE) -> DataFrame:
     """The base features of each row, both distances, base_failed and kept."""
-    given = docs.select(*pick(docs, doc_id, lang, text)).toDF("doc_id", "lang", "text").withColumn("lang", F.coalesce("lang", F.lit("")))
+    given = docs.select(*pick(docs, doc_id, lang, text)).toDF("doc_id", "lang", "text").withColumn("lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     common = durable(common_words(given), "common").withColumnRenamed("lang", "of")
     rows = durable(features(given.join(common, F.col("lang") == F.col("of"), "left").drop("of").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))), "features")
     refs = durable(_sums(rows, "kinds").join(_sums(rows, "common"), "lang"), "references").withColumnRenamed("lang", "of")

@@ -8,11 +8,14 @@ differ by one at most (law ``rows``).
 The matrix has blocks x shards counts, whatever the rows hold; blocks grow with the rows (one for
 ``BLOCK_ROWS``), so the driver draws and tells a few numbers for each. Permutations are orders by hash:
 within a block by one hash, within a shard by another, there cut into stretches so that no task sorts a
-whole shard. Hashes take in id, text checksum and size, so equal ids do not gather in a block; only rows
-that repeat all three do, and those are interchangeable.
+whole shard. Hashes take in id, text checksum, size and, of rows that repeat all three, a number: so neither
+equal ids nor equal rows gather in a block, and reruns agree whatever the partitions.
+
+write_shards moves the rows themselves. Each gets a number of its own in a durable table, by which its shard and
+slot find it again, whatever its doc_id.
 
 Defined cases: a null text has 8 bytes and checksum 0, like an empty one; null and repeated doc_ids are
-rows like any other; an empty table gives an empty result; other columns are not read.
+rows like any other; an empty table gives an empty result; other columns are not read, and are kept by write_shards.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, numbered
 
 SHARDS = 24
 BLOCK_ROWS = 200_000
@@ -62,15 +65,16 @@ def _large(rng, good: int, bad: int, n: int) -> int:
     return first + min(last - first, int(np.searchsorted(weights, rng.random() * weights[-1], side="right")))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row."""
-    spark = docs.sparkSession
+def _compact(doc_id: str, text: str) -> list:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    held = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    table = durable(held, "sharding")
+    return [F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")]
+
+
+def _dealt(table: DataFrame, key: list[str], shards: int, seed: int, block_rows: int) -> DataFrame:
+    """shard and slot of each row of a durable table, whose key tells rows apart."""
+    spark = table.sparkSession
     total = table.count()
     blocks = max(1, -(-total // block_rows))
-    key = ["doc_id", "text_crc32", "size"]
     rows = table.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(blocks)).cast("int")).withColumn("h", F.xxhash64(F.lit(seed + 1), *key))
     sizes = {r.block: r.n for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a block
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], [total // shards + (s < total % shards) for s in range(shards)], seed)
@@ -88,11 +92,25 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id:
     return own.join(before, ["shard", "stretch"]).select(*key, "shard", (F.col("before") + F.col("own")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", **more) -> None:
-    """The shuffled rows themselves as Parquet folders shard=0 ..., sorted by slot within each file. doc_id must tell rows apart."""
-    where = shard_rows(docs, shards, doc_id=doc_id, text=text, **more).select(F.col("doc_id").alias(doc_id), "shard", "slot")
-    moved = docs.join(where, doc_id)
-    moved.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of each row."""
+    table = durable(numbered(docs.select(*_compact(doc_id, text)), "nth"), "sharding")
+    return _dealt(table, ["doc_id", "text_crc32", "size", "nth"], shards, seed, block_rows).drop("nth")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> None:
+    """The shuffled rows themselves as Parquet folders shard=0 ..., sorted by slot within each file.
+
+    If docs has a column named shard, the folders' name gets an underscore, or as many as make it new.
+    """
+    names = docs.columns
+    folder = "shard"
+    while folder in names:
+        folder += "_"
+    table = durable(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    where = durable(_dealt(table.select("uid"), ["uid"], shards, seed, block_rows), "places")
+    moved = table.join(where, "uid").repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
+    moved.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
