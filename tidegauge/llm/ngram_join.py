@@ -45,7 +45,7 @@ WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: A shingle is frequent from so many texts on; at most MAX_HOT of them are told to all tasks (16 MB).
-HOT_FROM = 24
+HOT_FROM = 6
 MAX_HOT = 1 << 21
 STRETCH = 1 << 22
 MOST_BITS = 1 << 15
