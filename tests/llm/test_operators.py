@@ -111,9 +111,67 @@ def test_components(spark):
     assert found == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_links(odd):
+    sets = shingle_sets()
+    n = Counter()
+    for a in range(len(ROWS)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                n[a] += 1
+                n[b] += 1
+    rows, pairs = ngram_join.jaccard_links(odd)
+    rows = rows.collect()
+    assert bag((r.doc_id, r.n_shingles, r.n_links) for r in rows) == Counter((r[0], len(s), n[i]) for i, (r, s) in enumerate(zip(ROWS, sets)))
+    of = {r.class_id: r.n_shingles for r in rows}
+    classes = {s for s in sets if s}
+    want = sum(100 * len(a & b) >= 80 * len(a | b) for a in classes for b in classes if a is not b) // 2
+    assert len(of.keys() - {None}) == len(classes) and pairs.count() == want and all(r.class_a in of and r.class_b in of for r in pairs.collect())
+
+
 # substring dedup
 
 
+def spans_by(rows):
+    out = defaultdict(set)
+    for r in rows:
+        out[r.doc_id, r.row].update(range(r.start, r.end))
+    return out
+
+
+@pytest.mark.parametrize("max_filter_bytes", [64 << 20, 1])
+def test_passages_against_all_chunks(spark, max_filter_bytes):
+    rng = np.random.default_rng(11)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    shared = [letters(int(n)) for n in rng.integers(100, 900, 12)]
+    texts = ["".join(x for k in rng.permutation(12)[: rng.integers(0, 4)] for x in (letters(int(rng.integers(20, 400))), shared[k])) + letters(50) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(7)
+    rows = substring_dedup.repeated_passages(docs, max_filter_bytes=max_filter_bytes).collect()
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows) and len(rows) > 50
+    for r in rows:  # the passage as a whole stands in the document named, and before it if that is its own
+        body, kept = texts[r.doc_id].encode()[r.start : r.end], texts[r.first_doc_id].encode()
+        assert len(body) >= substring_dedup.MIN_BYTES and r.first_doc_id <= r.doc_id
+        assert body in (kept if r.first_doc_id < r.doc_id else kept[: r.end - 1])
+    # every chunk that an earlier text has too, in a passage of at least 360 bytes that both share, is found
+    found = spans_by(rows)
+    for i, t in enumerate(texts):
+        for k, p in enumerate(shared):
+            at = t.find(p)
+            if at >= 0 and len(p) >= 360 and any(p in x for x in texts[:i]):
+                covered = {x for (d, _), own in found.items() if d == i for x in own}
+                assert len(covered & set(range(at, at + len(p)))) >= len(p) - 250
+
+
+def test_passages_of_odd_rows(odd):
+    rows = substring_dedup.repeated_passages(odd).collect()
+    texts = defaultdict(list)
+    for r in ROWS:
+        texts[r[0]].append((r[1] or "").encode())
+    for r in rows:
+        assert any(t[r.start : r.end] in k for t in texts[r.doc_id] if len(t) >= r.end for k in texts[r.first_doc_id]), r
+    long = [r for r in rows if r.doc_id in (13, 14)]
+    assert long and all(r.first_doc_id == r.doc_id for r in long)  # periodic texts repeat themselves
+
+
 def test_passages(odd):
     rows = substring_dedup.repeated_passages(odd).collect()
     text = {r[0]: r[1] for r in ROWS}
@@ -151,6 +209,41 @@ def test_targets():
     assert mixing.targets([0, 5], [5, 2]) == [0.0, 5.0] and mixing.targets([], []) == []
 
 
+def plain_targets(size: dict, weight: dict) -> dict:
+    """Share by weight, hold what is above three times its size there, and begin again with the rest."""
+    held: dict = {}
+    while True:
+        free = [s for s in size if s not in held]
+        rest = sum(size.values()) - sum(held.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: 3.0 * size[s] for s in free if share[s] > 3 * size[s]}
+        if not over:
+            return held | share
+        held |= over
+
+
+def test_targets_of_each_document(odd):
+    size = Counter()
+    for r in ROWS:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = plain_targets(size, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    for r in mixing.mix(odd).collect():
+        assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source])
+
+
+def test_mixed_shares_copies_of_equal_rows(spark):
+    rows = [(None, "same words here", "a", k % 3) for k in range(500)] + [(i, f"own words {i}", "a", 0) for i in range(500)] + [(i, "x " * 40, "b", 0) for i in range(500, 540)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, more int").repartition(6)
+    drawn = mixing.mix(docs, block_rows=100).collect()
+    want = sum(r.copies for r in drawn if r.doc_id is None)
+    out = mixing.mixed(docs, block_rows=100).collect()
+    own = Counter(r.more for r in out if r.doc_id is None)
+    assert sum(own.values()) == want and len(out) == sum(r.copies for r in drawn) and max(own.values()) <= 2 * 167
+    blocks = Counter(r.copies for r in drawn if r.doc_id is None)
+    assert len(blocks) >= 1 and sum(blocks.values()) == 500
+
+
 @pytest.mark.parametrize("block_rows", [20_000, 12])
 def test_mix(odd, block_rows):
     rows = mixing.mix(odd, block_rows=block_rows).collect()
@@ -218,13 +311,30 @@ def test_packing(odd):
 
 
 def test_sequences_round_trip(odd):
-    docs = odd.where("doc_id > 20 and doc_id < 200")
+    made = [np.frombuffer(bytes(r.ids), "<u4") for r in packing.sequence_tokens(odd, VOCABULARY, bucket_rows=16).collect()]
+    tok = Tokenizer.from_file(VOCABULARY)
+    want = Counter()
+    for r in ROWS:  # nulls and rows that repeat others too
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want.update(tuple(ids[k : k + 2048]) for k in range(0, len(ids), 2048))
+    whole = [p for p in want if p[-1] != 0]  # all but the last piece of a document end without 0
+    got = Counter()
+    for x in made:
+        assert len(x) <= 2048
+        if tuple(x.tolist()) in whole:
+            got[tuple(x.tolist())] += 1
+        else:
+            cut = [0, *(np.flatnonzero(x == 0) + 1).tolist()]
+            assert cut[-1] == len(x)
+            got.update(tuple(x[a:b].tolist()) for a, b in zip(cut, cut[1:]))
+    assert got == want
+
+
+def test_sequences_of_the_mix(odd):
+    docs = mixing.mixed(odd)
     layout = packing.pack_documents(docs, VOCABULARY)
-    made = {r.sequence_id: np.frombuffer(bytes(r.ids), "<u4") for r in packing.sequence_tokens(docs, layout, VOCABULARY).collect()}
-    tok, text = Tokenizer.from_file(VOCABULARY), {r[0]: r[1] for r in ROWS}
-    for r in layout.collect():
-        ids = [*tok.encode(text[r.doc_id], add_special_tokens=False).ids, 0][r.start : r.start + r.length]
-        assert made[r.sequence_id][r.offset : r.offset + r.length].tolist() == ids
+    made = [len(bytes(r.ids)) // 4 for r in packing.sequence_tokens(docs, VOCABULARY).collect()]
+    assert sum(made) == sum(r.length for r in layout.collect()) and max(made) <= 2048
 
 
 def test_plan_uses_all_and_fills():
@@ -243,16 +353,15 @@ def test_plan_uses_all_and_fills():
 def test_exact_fill_against_all():
     rng = np.random.default_rng(4)
     for _ in range(300):
-        left = rng.integers(0, 3, 31) * (rng.random(31) < 0.3)
+        left = rng.integers(0, 4, 31) * (rng.random(31) < 0.3)
         left[0] = 0
         gap = int(rng.integers(1, 31))
         items = [x for x in range(31) for _ in range(left[x])]
         possible = any(sum(c) == gap for k in (1, 2, 3) for c in __import__("itertools").combinations(items, k))
-        got = packing.exact_fill(gap, left > 0, left > 1)
+        got = packing.exact_fill(gap, left)
         if got:
             assert sum(got) == gap and all(left[x] >= n for x, n in Counter(got).items())
-        three_alike = gap % 3 == 0 and left[gap // 3] >= 3
-        assert bool(got) == possible or three_alike
+        assert bool(got) == possible
 
 
 # token counts
@@ -322,6 +431,65 @@ def test_language_id(spark, odd):
     assert out.columns == odd.columns and not {5, 6, 7, 16} & {r.doc_id for r in out.collect()}
 
 
+def test_language_id_keeps_mixed_texts(spark):
+    en, fr, de = ("the of and to in is that it was for on with", "le la les des une et est dans que pour qui sur", "der die das und ist nicht ein eine mit auf den von")
+    rows = [(i, f"{t} {i}", g) for i, (t, g) in enumerate([(en, "en"), (fr, "fr"), (de, "de")] * 30)]
+    rows += [(900, f"{en} {fr} {de}", None), (901, "один два три четыре пять шесть семь", None), (902, f"{en} один два", None), (903, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in language_id.identified(docs).collect()} == {*range(90), 900, 902}
+
+
+def plain_model(rows):
+    """Counts of scripts and trigrams by language, of labelled rows outside the held-out third."""
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for word in (text or "").split():
+                letters = "".join(c for c in word if c.isalpha()).lower()
+                padded = "^^" + letters + "$"
+                if letters:
+                    counts[lang].update(padded[k : k + 3] for k in range(len(padded) - 2))
+                    counts[lang].update("@" + language_id.script_of(c) for c in letters)
+    return language_id.Model([(lang, g, n) for lang, own in counts.items() for g, n in own.items()])
+
+
+def plain_label(model, text):
+    """The best path over a text's words, one word after the other."""
+    n = len(model.languages)
+    best, paths, weight = [0.0] * n, [[] for _ in range(n)], []
+    for word in (text or "").split():
+        score, letters, _ = model.words([word])
+        weight.append(int(letters[0]))
+        top = max(range(n), key=lambda x: best[x])
+        moved = [(best[top] - language_id.SWITCH, top) if best[top] - language_id.SWITCH > best[x] else (best[x], x) for x in range(n)]
+        best = [v + float(score[0][x]) for x, (v, _) in enumerate(moved)]
+        paths = [[*paths[came], x] for x, (_, came) in enumerate(moved)]
+    if not sum(weight):
+        return "und", 0.0
+    path = paths[max(range(n), key=lambda x: best[x])]
+    share = [sum(w for w, y in zip(weight, path) if y == x) for x in range(n)]
+    return model.languages[max(range(n), key=lambda x: share[x])], max(share) / sum(weight)
+
+
+def test_predictions_against_a_plain_version(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = [(10_000 + i, t, None) for i, t in enumerate((None, "", "12 34", "привет мир", "a" * 3000, "the " * 2000, "le la the der und"))]
+    frame = spark.createDataFrame(docs + odd, "doc_id bigint, text string, lang string")
+    model = plain_model(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(frame, language_id.train(frame), ["doc_id"]).withColumnRenamed("c0", "doc_id").collect()}
+    for i, text, _ in docs + odd:
+        want = plain_label(model, text)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-3), (i, got[i], want)
+
+
+def test_held_out_documents_are_not_learned_from(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    out = [zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in docs]
+    changed = [(i, "zzz qqq " * 50, "xx") if o else (i, t, g) for (i, t, g), o in zip(docs, out)]
+    a, b = (language_id.train(spark.createDataFrame(x, "doc_id bigint, text string, lang string")) for x in (docs, changed))
+    assert a.languages == b.languages and "xx" not in b.languages and a.index == b.index and (a.table == b.table).all() and sum(out) > 20
+
+
 def test_language_id_keeps_rare_languages(spark, monkeypatch):
     monkeypatch.setattr(language_id, "GRAMS", 20)
     rows = [(i, " ".join(a + b + c for a in "abcd" for b in "abcd" for c in "abcd"), "many") for i in range(30)] + [(i, "xyz zyx", "rare") for i in (101, 102, 103) if zlib.crc32(str(i).encode()) % 3 != 1]
@@ -399,10 +567,32 @@ def test_matrix_law():
 
 
 def test_write_shards(odd, tmp_path, spark):
-    docs = odd.where("doc_id > 20 and doc_id < 200").select("doc_id", "text", "lang")
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
+    docs = odd.selectExpr("*", "lang AS shard", "source AS slot")  # null and repeated ids, equal rows, clashing names
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=3, block_rows=7)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert bag(back.select("doc_id", "text", "lang").collect()) == bag(docs.collect()) and back.select("shard").distinct().count() == 3
+    assert bag(back.select(*docs.columns).collect()) == bag(docs.collect())
+    sizes = [r["count"] for r in back.groupBy("shard_").count().collect()]
+    assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
+
+
+def test_shuffle_is_uniform(spark):
+    rows = spark.range(240).selectExpr("id AS doc_id", "'t' AS text").union(spark.range(60).selectExpr("CAST(NULL AS bigint) AS doc_id", "'same' AS text"))
+    where = np.zeros((240, 4))
+    for seed in range(12):
+        found = sharding.shard_rows(rows, shards=4, seed=seed, block_rows=50).collect()
+        for r in found:
+            if r.doc_id is not None:
+                where[r.doc_id, r.shard] += 1
+        own = Counter(r.shard for r in found if r.doc_id is None)
+        assert max(own.values()) < 40  # equal rows spread too
+        assert sum(r.slot for r in found) == 4 * sum(range(75))
+    chi = ((where - 3) ** 2 / 3).sum() / 240
+    assert 2.4 < chi < 3.6  # three degrees of freedom a row
+
+
+def test_shards_do_not_depend_on_partitions(odd):
+    a, b = (bag(sharding.shard_rows(x, block_rows=9).collect()) for x in (odd, odd.repartition(2)))
+    assert a == b
 
 
 # personal data
@@ -469,6 +659,39 @@ def test_terms_far_from_entities(spark):
     assert [(rows[1][1][x.start : x.end], x.value) for x in found[1] if x.kind == 4] == [("Zebulon", "zebulon"), ("zebulon", "zebulon")] and not found[150]
 
 
+def plain_findings(rows):
+    """Base and term spans of each text by the formula, from sets of whole documents."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    base = [[(m.start(), i, m.end(), f"{i}:{m.group().lower()}") for i, (k, p) in enumerate(PATTERNS) for m in re.finditer(p, t) if holds(k, m.group())] for _, t in rows]
+    words = [{m.group().lower() for m in term.finditer(t)} for _, t in rows]
+    n, n_t = len(rows), Counter(w for own in words for w in own)
+    where = defaultdict(set)
+    for d, own in enumerate(base):
+        for *_, entity in own:
+            where[entity].add(d)
+    told = defaultdict(set)
+    for docs in where.values():
+        share = len(docs) / n
+        for w in {w for d in docs for w in words[d]} if len(docs) < n else ():
+            n_et = sum(w in words[d] for d in docs)
+            p = (n_et + sanitise.PRIOR * share) / (n_t[w] + sanitise.PRIOR)
+            if 1 - np.log(p) / np.log(share) >= sanitise.DISCLOSURE:
+                for d in docs:
+                    told[d].add(w)
+    out = {}
+    for d, (i, t) in enumerate(rows):
+        spans = [x[:3] for x in base[d]]
+        spans += [(m.start(), 4, m.end()) for m in term.finditer(t) if m.group().lower() in told[d] and not any(m.start() < e and m.end() > s for s, _, e, _ in base[d])]
+        out[i] = ",".join(f"{(*sanitise.KINDS, 'term')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return out
+
+
+def test_disclosure_against_a_plain_version(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: r.spans for r in sanitise.findings(spark.createDataFrame(docs, "doc_id bigint, text string")).select("doc_id", sanitise.written(sanitise.F.col("found")).alias("spans")).collect()}
+    assert got == plain_findings(docs) and sum("term:" in x for x in got.values()) > 10
+
+
 def test_sharding_draws_beyond_the_generator():
     rng = np.random.default_rng(3)
     rare = np.array([sharding._large(rng, 1000, 2 * 10**9, 2 * 10**6) for _ in range(4000)])
