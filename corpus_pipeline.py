@@ -19,7 +19,7 @@ from tidegauge.llm.shared import durable
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts of which no language holds two fifths."""
+    """Rejects texts without letters and texts of which less than half is in scripts of learned languages."""
     return identified(docs)
 
 
