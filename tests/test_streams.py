@@ -1,6 +1,8 @@
 """Panes with exact lateness, restarts between batches, and the native streams."""
 
 import json
+import time
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -30,13 +32,16 @@ def test_early_panes_and_late_duplicates(spark, tmp_path):
     assert panes_of(run_panes(spark, str(tmp_path / "b"), batches, policy)) == [(3, 7_500_000, "EARLY", -1, True), (3, 7_500_000, "ON_TIME", 0, False), (4, 10_000_000, "LATE", 1, False)]
 
 
-def test_native_stream_of_alerts(spark, tmp_path):
+def test_stream_of_alerts(spark, tmp_path):
     scenario.envelope_of(scenario.demo_events(spark)).write.parquet(f"{tmp_path}/raw")
     envelope = spark.readStream.schema(ENVELOPE).parquet(f"{tmp_path}/raw")
-    out = f"{tmp_path}/out"
+    out, counters = f"{tmp_path}/out", native.Counters()
+    spark.streams.addListener(counters)
     native.start_alerts(native.events_of(envelope), lambda b, n: b.write.mode("append").parquet(out), f"{tmp_path}/c1", once=True).awaitTermination()
+    native.start_invalid(envelope, lambda b, n: b.collect() and None, f"{tmp_path}/c0", once=True).awaitTermination()
     alerts = [json.loads(bytes(r.value)) for r in spark.read.parquet(out).collect()]
-    assert sorted(a["transaction_count"] for a in alerts) == [4, 4, 5]
+    last = {a["idempotency_key"]: a["transaction_count"] for a in sorted(alerts, key=lambda a: a["revision"])}
+    assert sorted(last.values()) == [4, 4, 5] and len({(a["idempotency_key"], a["revision"]) for a in alerts}) == len(alerts)
     view = materialize.AlertView(spark, f"file://{tmp_path}/view")
     spark.read.parquet(out).select("key", "value", F.lit("a").alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(None).cast("timestamp").alias("timestamp")).write.parquet(f"{tmp_path}/alerts")
     stream = spark.readStream.schema(ENVELOPE).parquet(f"{tmp_path}/alerts")
@@ -44,3 +49,26 @@ def test_native_stream_of_alerts(spark, tmp_path):
     assert view.snapshot().count() == 3
     native.start_materializer(spark.readStream.schema(ENVELOPE).parquet(f"{tmp_path}/alerts"), view, f"{tmp_path}/c3", once=True).awaitTermination()
     assert view.version() == 1
+    deadline = time.monotonic() + 30
+    while counters.total["valid_records"] < 8 and time.monotonic() < deadline:  # the listener hears of batches a little later
+        time.sleep(0.2)
+    spark.streams.removeListener(counters)
+    assert counters.total["valid_records"] == 8 and counters.total["alerts_emitted"] == len(alerts)
+
+
+def test_revisions_rise_and_the_view_follows(spark, tmp_path):
+    """A window grows over three runs of the query, each from its checkpoint: the view shows the last state."""
+    view, seen = materialize.AlertView(spark, f"file://{tmp_path}/view"), []
+    schema = "event_id string, customer_id string, event_ts timestamp, amount bigint, partition int, offset bigint"
+
+    def take(batch, n):
+        alerts = materialize.decode_alerts(batch.select("key", "value", F.lit(0).alias("partition"), F.lit(n).cast("bigint").alias("offset")))
+        view.upsert(alerts)
+        seen.extend((r.revision, json.loads(r.alert_json)["transaction_count"], json.loads(r.alert_json)["pane_timing"]) for r in alerts.collect())
+
+    for n, ids in enumerate(((0, 1, 2, 3, 4), (5, 6), (6, 7))):
+        rows = [(f"e{i}", "c", datetime(2026, 8, 9, 20, 0, i, tzinfo=UTC), 10, 0, 10 * n + i) for i in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/input")
+        native.start_alerts(spark.readStream.schema(schema).parquet(f"{tmp_path}/input"), take, f"{tmp_path}/c", WindowPolicy(period_seconds=60), once=True).awaitTermination()
+    assert seen == [(0, 5, "EARLY"), (1, 7, "EARLY"), (2, 8, "EARLY")]
+    assert [json.loads(r.alert_json)["transaction_count"] for r in view.snapshot().collect()] == [8]

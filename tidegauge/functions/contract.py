@@ -12,11 +12,11 @@ TRANSACTION_TYPES = ("card_purchase", "cash_deposit", "cash_withdrawal", "transf
 CHANNELS = ("api", "atm", "branch", "mobile", "web")
 ERROR_STAGE = "ingestion_validation"
 MAX_AMOUNT = 9223372036854775807
-ISO_DATE_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)$"
-ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?)?Z?$"
+ISO_USUAL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+ISO_DATE_TIME = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?|\d{8}[T ]\d{2}(\d{2}(\d{2}([.,]\d{1,9})?)?)?)(Z|[+-]\d{2}(:?\d{2})?)$"
+ISO_LOCAL = r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?)?Z?|\d{8}([T ]\d{2}(\d{2}(\d{2}([.,]\d{1,9})?)?)?)?Z?)$"
 
 # Error texts.
-NOT_A_PAIR = "Kafka record must be a key-value tuple"
 KEY_NULL = "Kafka key must not be null"
 KEY_NOT_UTF8 = "Kafka key must contain valid UTF-8"
 KEY_BLANK = "Kafka key must be a non-empty string"
@@ -44,30 +44,49 @@ def present(text: Column) -> Column:
 
 
 def strict_json(text: Column) -> Column:
-    """A variant, null unless the whole text is one JSON document (the parser alone would ignore what trails)."""
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(alone, F.try_parse_json(text))
+    """An array of the text's one JSON document (element 0), or null.
+
+    The parser ignores what trails a document, so the text is parsed within brackets with its own hash behind it: only
+    if the hash comes out as element 1 was the text one document and nothing else. unwrapped() takes it out.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text), F.lit("]")))
+
+
+def unwrapped(parsed: Column, text: Column) -> Column:
+    return F.when(F.try_variant_get(parsed, "$[1]", "bigint") == F.xxhash64(text), F.try_variant_get(parsed, "$[0]", "variant"))
 
 
 def kind(variant: Column) -> Column:
     return F.coalesce(F.schema_of_variant(variant), F.lit("MISSING"))
 
 
-def part(variant: Column, name: str) -> Column:
-    return F.try_variant_get(variant, f"$.{name}", "variant")
+def text_of(variant: Column) -> Column:
+    """A value if it is a string, else null."""
+    return F.when(F.schema_of_variant(variant) == "STRING", F.try_variant_get(variant, "$", "string"))
+
 
+def instant(text: Column) -> Column:
+    """The instant that an ISO 8601 text with an offset names; null otherwise. The usual form goes to the cast as it is."""
+    tidy = F.regexp_replace(text, ",", ".")
+    tidy = F.regexp_replace(tidy, r"^(\d{4})(\d{2})(\d{2})([T ])", "$1-$2-$3$4")
+    tidy = F.regexp_replace(tidy, r"([T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3")
+    tidy = F.regexp_replace(tidy, r"([T ]\d{2})(\d{2})(Z|[+-])", "$1:$2$3")
+    tidy = F.regexp_replace(tidy, r"([T ]\d{2})(Z|[+-])", "$1:00$2")
+    tidy = F.regexp_replace(tidy, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    tidy = F.regexp_replace(F.regexp_replace(tidy, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([+-]\d{2})$", "$1:00")
+    return F.when(text.rlike(ISO_USUAL), text).when(text.rlike(ISO_DATE_TIME), tidy).try_cast("timestamp")
 
-def text_of(variant: Column, name: str) -> Column:
-    """A field's value if it is a string, else null."""
-    return F.when(kind(part(variant, name)) == "STRING", F.try_variant_get(variant, f"$.{name}", "string"))
 
+def in_range(at: Column) -> Column:
+    """An instant in years 1 to 9999, else null."""
+    return F.when(at.between(F.lit("0001-01-01 00:00:00Z").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999Z").cast("timestamp")), at)
 
-def parse_event_time(text: Column) -> Column:
-    """The instant of an ISO 8601 text with an offset; null otherwise, and outside years 1 to 9999."""
-    tidy = F.regexp_replace(F.regexp_replace(text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    tidy = F.regexp_replace(tidy, r"(T| )(\d{2}:\d{2})(Z|[+-])", "$1$2:00$3")
-    at = F.when(text.rlike(ISO_DATE_TIME), F.regexp_replace(tidy, r"([+-]\d{2})$", "$1:00")).try_cast("timestamp")
-    return F.when((at >= F.lit("0001-01-01 00:00:00Z").cast("timestamp")) & (at <= F.lit("9999-12-31 23:59:59.999999Z").cast("timestamp")), at)
+
+def check_utc(spark) -> None:
+    """Texts of instants and windows are in UTC by the session's time zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {zone}")
 
 
 def format_event_time(at: Column) -> Column:
@@ -84,22 +103,26 @@ def collected(*rules: tuple[Column, Column | str]) -> Column:
     return F.filter(F.array(*[F.when(rule, F.lit(text) if isinstance(text, str) else text) for rule, text in rules]), lambda e: e.isNotNull())
 
 
-def fields(event: Column) -> dict[str, Column]:
-    """What the rules look at, each taken from the variant once."""
-    payload = part(event, "payload")
-    amount = kind(part(payload, "amount"))
+#: Parts of an event and of its payload, each taken out in one pass; null for what is not an object.
+EVENT = "struct<schema_version:variant,event_id:variant,customer_id:variant,event_time:variant,payload:variant>"
+PAYLOAD = "struct<amount:variant,currency:variant,transaction_type:variant,channel:variant>"
+
+
+def fields(event: Column, payload: Column, amount: Column) -> dict[str, Column]:
+    """What the rules look at, of the structs EVENT and PAYLOAD and the kind of the amount."""
+    number = payload["amount"]
     return {
-        "f_object": kind(event).startswith("OBJECT"),
-        "f_version": text_of(event, "schema_version"),
-        "f_event_id": text_of(event, "event_id"),
-        "f_customer_id": text_of(event, "customer_id"),
-        "f_time": text_of(event, "event_time"),
-        "f_payload": kind(payload).startswith("OBJECT"),
-        "f_amount": F.when(amount == "BIGINT", F.try_variant_get(payload, "$.amount", "bigint")),
-        "f_large": F.coalesce(amount.startswith("DECIMAL") & (F.try_variant_get(payload, "$.amount", "decimal(38,0)") > F.lit(MAX_AMOUNT).cast("decimal(38,0)")), F.lit(False)),
-        "f_currency": text_of(payload, "currency"),
-        "f_type": text_of(payload, "transaction_type"),
-        "f_channel": text_of(payload, "channel"),
+        "f_object": event.isNotNull(),
+        "f_version": text_of(event["schema_version"]),
+        "f_event_id": text_of(event["event_id"]),
+        "f_customer_id": text_of(event["customer_id"]),
+        "f_time": text_of(event["event_time"]),
+        "f_payload": payload.isNotNull(),
+        "f_amount": F.when(amount == "BIGINT", F.try_variant_get(number, "$", "bigint")),
+        "f_large": F.coalesce(amount.startswith("DECIMAL") & (F.try_variant_get(number, "$", "decimal(38,0)") > F.lit(MAX_AMOUNT).cast("decimal(38,0)")), F.lit(False)),
+        "f_currency": text_of(payload["currency"]),
+        "f_type": text_of(payload["transaction_type"]),
+        "f_channel": text_of(payload["channel"]),
     }
 
 

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import contract as c
 
 
+ALLOW_DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
+
+
 def validated(envelope: DataFrame) -> DataFrame:
-    """The envelope with the fields of its events (f_...) and errors."""
-    envelope.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys holds
+    """The envelope with the fields of its events (f_...) and errors. Of equal keys in an object the last holds: the session must allow them (and does from here on, as for UTC, which is only checked)."""
+    spark = envelope.sparkSession
+    c.check_utc(spark)
+    if spark.conf.get(ALLOW_DUPLICATES, "false") != "true":
+        spark.conf.set(ALLOW_DUPLICATES, "true")
     key, value = F.col("key").cast("string"), F.col("value").cast("string")
     key_ok = F.col("key").isNotNull() & F.is_valid_utf8(key)
     value_ok = F.col("value").isNotNull() & F.is_valid_utf8(value)
-    rows = envelope.withColumns({"key_text": F.when(key_ok, key), "event": F.when(value_ok, c.strict_json(value)), "value_ok": value_ok})
+    rows = envelope.withColumns({"key_text": F.when(key_ok, key), "value_ok": value_ok})
+    rows = rows.withColumn("parsed", F.when(F.col("value_ok"), c.strict_json(value))).withColumn("event", c.unwrapped(F.col("parsed"), value))
+    rows = rows.withColumn("parts", F.try_variant_get("event", "$", c.EVENT)).withColumn("inner", F.try_variant_get("parts.payload", "$", c.PAYLOAD)).withColumn("amount_kind", c.kind(F.col("inner.amount")))
     event = F.col("event")
     about_key = c.collected(
         (F.col("key").isNull(), c.KEY_NULL),
@@ -26,11 +34,11 @@ def validated(envelope: DataFrame) -> DataFrame:
         (F.col("value").isNotNull() & ~F.col("value_ok"), c.VALUE_NOT_UTF8),
         (F.col("value_ok") & event.isNull(), c.VALUE_NOT_JSON),
     )
-    rows = rows.withColumns(c.fields(event))
-    rows = rows.withColumn("f_at", c.parse_event_time(F.col("f_time")))
+    rows = rows.withColumns(c.fields(F.col("parts"), F.col("inner"), F.col("amount_kind")))
+    rows = rows.withColumn("instant", c.instant(F.col("f_time"))).withColumn("f_at", c.in_range(F.col("instant")))
     mismatch = c.collected((F.col("key_text").isNotNull() & c.present(F.col("f_customer_id")) & (F.col("key_text") != F.col("f_customer_id")), c.KEY_MISMATCH))
     inside = F.when(event.isNotNull(), c.event_errors()).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("errors", F.concat(about_key, about_value, inside, mismatch)).drop("value_ok", "event", "key_text")
+    return rows.withColumn("errors", F.concat(about_key, about_value, inside, mismatch)).drop("value_ok", "event", "key_text", "parsed", "parts", "inner", "amount_kind", "instant")
 
 
 def _only(rows: DataFrame, holds: F.Column, *fields: F.Column) -> DataFrame:

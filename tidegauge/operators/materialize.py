@@ -1,8 +1,10 @@
 """The durable view of alerts: the highest revision of each key.
 
-A snapshot is a folder of Parquet under ``root/version=N``; the file ``root/CURRENT`` names the one that holds.
-A batch writes the next version and only then moves the name, so readers never see half a snapshot and a
-replayed batch changes nothing. Everything goes through Hadoop's file system, so root may be any store.
+Keys lie in ``buckets`` by hash. A batch writes the buckets in which a revision was raised as Parquet under
+``root/version=N/bucket=B`` and only then the small file ``root/COMMITTED.N``, which says for every bucket in which
+version it lies. The highest complete one of these files holds, and none is taken away before the next is there: a
+crash at any step leaves the state before or after the batch, readers never see half a snapshot, and a replayed batch changes
+nothing. Everything goes through Hadoop's file system, so root may be any store. One writer at a time.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.contract import present
+from ..functions.contract import kind, present, strict_json, unwrapped
 
-SCHEMA = "idempotency_key string, revision int, alert_json string"
+SCHEMA = "idempotency_key string, revision bigint, alert_json string"
+BUCKETS = 64
 KEY_BLANK = "Kafka alert key must be a non-empty string"
 KEY_MISMATCH = "Kafka alert key must match idempotency_key"
 REVISION_WRONG = "alert revision must be a non-negative integer"
@@ -22,20 +25,21 @@ NOT_AN_OBJECT = "alert value must be a JSON object"
 
 def decode_alerts(envelope: DataFrame) -> DataFrame:
     """idempotency_key, revision, alert_json and arrival of alert records; a record that breaks the contract fails the query."""
+    envelope.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys holds
     key, value = F.col("key").cast("string"), F.col("value").cast("string")
-    alert = F.try_parse_json(value)
-    revision = F.try_variant_get(alert, "$.revision", "variant")
-    number = F.when(F.schema_of_variant(revision) == "BIGINT", F.try_variant_get(alert, "$.revision", "int"))
-    own = F.when(F.schema_of_variant(F.try_variant_get(alert, "$.idempotency_key", "variant")) == "STRING", F.try_variant_get(alert, "$.idempotency_key", "string"))
+    rows = envelope.withColumn("alert", F.when(F.is_valid_utf8(value), unwrapped(strict_json(value), value)))
+    alert = F.col("alert")
+    number = F.when(kind(F.try_variant_get(alert, "$.revision", "variant")) == "BIGINT", F.try_variant_get(alert, "$.revision", "bigint"))
+    own = F.when(kind(F.try_variant_get(alert, "$.idempotency_key", "variant")) == "STRING", F.try_variant_get(alert, "$.idempotency_key", "string"))
     wrong = (
         F.when(F.col("key").isNull() | F.col("value").isNull(), F.lit(NULL_RECORD))
-        .when(alert.isNull() | ~F.schema_of_variant(alert).startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
-        .when(~present(key), F.lit(KEY_BLANK))
+        .when(alert.isNull() | ~kind(alert).startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
+        .when(~F.is_valid_utf8(key) | ~present(key), F.lit(KEY_BLANK))
         .when(~own.eqNullSafe(key), F.lit(KEY_MISMATCH))
         .when(number.isNull() | (number < 0), F.lit(REVISION_WRONG))
     )
     checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(key)
-    return envelope.select(checked.alias("idempotency_key"), number.alias("revision"), value.alias("alert_json"), F.struct("partition", "offset").alias("arrival"))
+    return rows.select(checked.alias("idempotency_key"), number.alias("revision"), value.alias("alert_json"), F.struct("partition", "offset").alias("arrival"))
 
 
 def latest_alerts(alerts: DataFrame) -> DataFrame:
@@ -54,56 +58,94 @@ def merged(snapshot: DataFrame, alerts: DataFrame) -> DataFrame:
     return both.select(F.coalesce("idempotency_key", "k").alias("idempotency_key"), pick("r", "revision").alias("revision"), pick("j", "alert_json").alias("alert_json"))
 
 
+def raised(alerts: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """idempotency_key, revision and arrival of the alerts that raised their key's revision, in order of arrival.
+
+    Only the first arrival of each revision can: partial aggregation finds it, so a hot key is one row for each
+    revision before anything is sorted.
+    """
+    first = alerts.groupBy("idempotency_key", "revision").agg(F.min("arrival").alias("arrival"))
+    if snapshot is not None:
+        first = first.join(snapshot.select("idempotency_key", F.col("revision").alias("stored")), "idempotency_key", "left").where("stored IS NULL OR revision > stored").drop("stored")
+    before = F.max("revision").over(Window.partitionBy("idempotency_key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("before", before).where("before IS NULL OR revision > before").drop("before")
+
+
 def applied(alerts: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """alerts with applied: whether each, in order of arrival, raised its key's revision."""
-    stored = alerts.withColumn("stored", F.lit(-1)) if snapshot is None else alerts.join(snapshot.select("idempotency_key", F.col("revision").alias("stored")), "idempotency_key", "left")
-    before = F.max("revision").over(Window.partitionBy("idempotency_key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    return stored.withColumn("applied", F.col("revision") > F.greatest(F.coalesce(before, F.lit(-1)), F.coalesce("stored", F.lit(-1)))).drop("stored")
+    hit = raised(alerts, snapshot).withColumn("applied", F.lit(True))
+    return alerts.join(hit, ["idempotency_key", "revision", "arrival"], "left").na.fill(False, ["applied"])
 
 
 class AlertView:
     """The durable view at root."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[str]:
+        at = self._path(self.root)
+        return [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _commits(self) -> list[int]:
+        return sorted(int(x.split(".")[1]) for x in self._names() if x.startswith("COMMITTED."))
+
     def version(self) -> int:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        return int(self.spark.read.text(str(at.toString())).first()[0])
+        return max(self._commits(), default=0)
 
-    def snapshot(self) -> DataFrame:
-        n = self.version()
-        if not n:
+    def _manifest(self, version: int) -> dict[int, int]:
+        """The version in which each bucket lies."""
+        if not version:
+            return {}
+        return {int(k): int(v) for k, v in (r[0].split() for r in self.spark.read.text(f"{self.root}/COMMITTED.{version}").collect() if r[0])}  # a line a bucket
+
+    def _read(self, manifest: dict[int, int]) -> DataFrame:
+        if not manifest:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/version={n}")
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/version={v}/bucket={b}" for b, v in sorted(manifest.items())])
+
+    def snapshot(self) -> DataFrame:
+        return self._read(self._manifest(self.version()))
 
     def ordered(self) -> DataFrame:
         return self.snapshot().orderBy("idempotency_key")
 
     def upsert(self, alerts: DataFrame) -> int:
-        """Take in decoded alerts; the number that raised a revision."""
-        alerts = alerts.persist()
+        """Take in decoded alerts; the number that raised a revision. Only buckets with such keys are read and written."""
+        alerts = alerts.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int")).persist()
         try:
-            n, before = self.version(), self.snapshot()
-            raised = applied(alerts, before).where("applied").count()
-            if not raised and n:
-                return 0
-            target = self._path(f"{self.root}/version={n + 1}")
-            merged(before, alerts).write.mode("overwrite").parquet(target.toString())
-            fresh = self._path(f"{self.root}/CURRENT.{n + 1}")
-            out = self._fs.create(fresh, True)
-            out.write(bytearray(f"{n + 1}\n".encode()))
-            out.close()
-            now = self._path(f"{self.root}/CURRENT")
-            self._fs.delete(now, False)
-            self._fs.rename(fresh, now)
-            if n > 1:
-                self._fs.delete(self._path(f"{self.root}/version={n - 1}"), True)  # the version before stays for readers under way
-            return raised
+            n = self.version()
+            manifest = self._manifest(n)
+            touched = {r.bucket for r in alerts.select("bucket").distinct().collect()}  # at most buckets
+            higher = raised(alerts, self._read({b: v for b, v in manifest.items() if b in touched})).persist()
+            hit = F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int")
+            counts = {r.bucket: r.n for r in higher.groupBy(hit.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            higher.unpersist()
+            if counts:
+                self._commit(n, manifest, alerts, sorted(counts))
+            return sum(counts.values())
         finally:
             alerts.unpersist()
+
+    def _commit(self, n: int, manifest: dict[int, int], alerts: DataFrame, buckets: list[int]) -> None:
+        before = self._read({b: v for b, v in manifest.items() if b in set(buckets)})
+        now = merged(before, alerts.where(F.col("bucket").isin(buckets)).drop("bucket"))
+        hit = F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int")
+        now.withColumn("bucket", hit).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/version={n + 1}")
+        after = manifest | dict.fromkeys(buckets, n + 1)
+        made = self._path(f"{self.root}/.COMMITTED.{n + 1}")
+        out = self._fs.create(made, True)
+        out.write(bytearray("".join(f"{b} {v}\n" for b, v in sorted(after.items())).encode()))
+        out.close()
+        if not self._fs.rename(made, self._path(f"{self.root}/COMMITTED.{n + 1}")):
+            raise OSError(f"version {n + 1} of {self.root} was not committed")
+        self._clean(n, set(manifest.values()) | set(after.values()))
+
+    def _clean(self, before: int, held: set[int]) -> None:
+        """Remove what neither this version nor the one before needs; readers under way still use that one."""
+        for name in self._names():
+            if name.startswith("COMMITTED.") and int(name.split(".")[1]) < before or name.startswith("version=") and int(name.split("=")[1]) not in held:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)

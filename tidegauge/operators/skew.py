@@ -44,6 +44,8 @@ def partition_summary(records: DataFrame, partitions: int = PARTITIONS, observed
     if observed:
         seen = F.col(observed)
         at = F.when(seen.isNull() | (seen < 0) | (seen >= partitions), F.raise_error(F.lit("observed partition out of range")).cast("int")).otherwise(seen.cast("int"))
+    if records.isEmpty():
+        raise ValueError("scenario must contain at least one record")
     # two steps, so that a hot key is one row a task before the shuffle
     by_key = records.groupBy("scenario", at.alias("partition"), "customer_id").agg(F.count(F.lit(1)).alias("n"))
     counts = by_key.groupBy("scenario", "partition").agg(F.sum("n").alias("event_count"), F.count(F.lit(1)).alias("unique_key_count"))
@@ -84,9 +86,13 @@ def render_report(spark: SparkSession, events: int = EVENTS, partitions: int = P
     return "\n".join(lines)
 
 
-def scenario_events(records: DataFrame, base_micros: int) -> DataFrame:
-    """Typed events of a scenario's records: a millisecond apart, all alike but for id and customer."""
-    return records.select(F.concat_ws("-", F.lit("evt"), "scenario", F.format_string("%06d", "sequence")).alias("event_id"), "customer_id", F.timestamp_micros(F.lit(base_micros) + F.col("sequence") * 1000).alias("event_ts"), F.lit(100_000).cast("bigint").alias("amount"), F.lit("PYG").alias("currency"), F.lit("transfer").alias("transaction_type"), F.lit("api").alias("channel"), F.lit(0).alias("partition"), F.col("sequence").alias("offset"))
+def scenario_events(records: DataFrame, base_micros: int, order: Sequence[str] = ("balanced", "hot_key")) -> DataFrame:
+    """Typed events of the records of scenarios: an hour from scenario to scenario, a millisecond from record to record, all alike but for id and customer."""
+    hours = F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i)]), F.col("scenario")).cast("bigint")
+    at = F.timestamp_micros(F.lit(base_micros) + hours * 3_600_000_000 + F.col("sequence") * 1000)
+    same = {"amount": F.lit(100_000).cast("bigint"), "currency": F.lit("PYG"), "transaction_type": F.lit("transfer"), "channel": F.lit("api"), "partition": F.lit(0)}
+    name = F.concat(F.lit("evt-skew-"), F.col("scenario"), F.lit("-"), F.format_string("%04d", "sequence"))
+    return records.select("scenario", name.alias("event_id"), "customer_id", at.alias("event_ts"), *[v.alias(k) for k, v in same.items()], F.col("sequence").alias("offset"))
 
 
 def main(argv: Sequence[str] | None = None) -> int:

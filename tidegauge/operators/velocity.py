@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.contract import CURRENCY, SCHEMA_VERSION, iso_millis
+from ..functions.contract import CURRENCY, SCHEMA_VERSION, iso_millis, present
 from ..plans.config import WindowPolicy
 
 # Fixed values of rule velocity-v1.
@@ -34,7 +34,8 @@ def deduplicate(windowed: DataFrame) -> DataFrame:
     """The first arrival (partition, offset) of each event_id for each customer and window.
 
     Bounded frames: an aggregate, partial before the shuffle, so repeats of a hot customer merge early.
-    Streams: Spark's stateful dropDuplicates, within the window's watermark.
+    Streams: Spark's stateful dropDuplicates, within the window's watermark. It keeps the row that Spark meets first, which
+    need not be the first arrival where repeats of an id differ; streaming/panes.py decides by arrival.
     """
     keys = ["customer_id", "window", "event_id"]
     if windowed.isStreaming:
@@ -60,8 +61,18 @@ def velocity(events: DataFrame, policy: WindowPolicy = WindowPolicy()) -> DataFr
     return with_bounds(aggregate(deduplicate(assign_windows(early, policy))))
 
 
+# Error texts.
+CUSTOMER_BLANK = "customer_id must be a non-empty string"
+WINDOW_EMPTY = "window end must be greater than window start"
+NEGATIVE = "{} must be a non-negative integer"
+ONE_ZERO = "aggregate must contain positive count and amount or the neutral state (0, 0)"
+
+
 def alert_key(customer: str = "customer_id"):
-    return F.concat_ws("|", F.lit("velocity"), F.col(customer), F.col("window_start_ms"), F.col("window_end_ms"))
+    """The key that all revisions of a window's alert share; a blank customer or an empty window is an error."""
+    key = F.concat_ws("|", F.lit("velocity"), F.col(customer), F.col("window_start_ms"), F.col("window_end_ms"))
+    wrong = F.when(~present(F.col(customer)), F.lit(CUSTOMER_BLANK)).when(F.col("window_end_ms") <= F.col("window_start_ms"), F.lit(WINDOW_EMPTY))
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(key)
 
 
 def triggered(count_threshold: int, amount_threshold: int):
@@ -69,9 +80,14 @@ def triggered(count_threshold: int, amount_threshold: int):
 
 
 def evaluated(panes: DataFrame) -> DataFrame:
-    """Drops neutral aggregates (0, 0); an aggregate with exactly one zero is an error."""
-    one_zero = (F.col("transaction_count") == 0) != (F.col("total_amount") == 0)
-    checked = panes.withColumn("transaction_count", F.when(one_zero, F.raise_error(F.lit("inconsistent velocity aggregate"))).otherwise(F.col("transaction_count")))
+    """Drops neutral aggregates (0, 0); a negative or missing number, or exactly one zero, is an error."""
+    n, total = F.col("transaction_count"), F.col("total_amount")
+    wrong = (
+        F.when(n.isNull() | (n < 0), F.lit(NEGATIVE.format("transaction_count")))
+        .when(total.isNull() | (total < 0), F.lit(NEGATIVE.format("total_amount")))
+        .when((n == 0) != (total == 0), F.lit(ONE_ZERO))
+    )
+    checked = panes.withColumn("transaction_count", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("bigint")).otherwise(n))
     return checked.where("transaction_count > 0")
 
 
@@ -101,6 +117,12 @@ def create_velocity_alerts(panes: DataFrame, count_threshold: int = COUNT_THRESH
     ).select(*ALERT_FIELDS)
 
 
+def alert_counts(count_threshold: int = COUNT_THRESHOLD, amount_threshold: int = AMOUNT_THRESHOLD) -> tuple:
+    """Counters alerts_emitted and below_threshold_evaluations, over evaluated aggregates."""
+    hit = (F.col("transaction_count") >= count_threshold) | (F.col("total_amount") >= amount_threshold)
+    return F.count_if(hit).alias("alerts_emitted"), F.count_if(~hit).alias("below_threshold_evaluations")
+
+
 def assignment_counts(windowed: DataFrame) -> DataFrame:
     """unique_window_assignments and duplicate_window_assignments."""
     groups = windowed.groupBy("customer_id", "window", "event_id").agg(F.count(F.lit(1)).alias("n"))

@@ -36,7 +36,7 @@ class WindowPolicy:
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Where the pipeline reads and writes. mode: bounded (a batch query, one pane a window), native (Spark's aggregation) or event_time (exact panes)."""
+    """Where the pipeline reads and writes. mode: bounded (a batch query, one pane a window) or event_time (a stream of panes with revisions)."""
 
     bootstrap_servers: str = "localhost:9092"
     input_topic: str = INPUT_TOPIC
@@ -44,7 +44,7 @@ class PipelineConfig:
     invalid_topic: str = INVALID_TOPIC
     consumer_group: str = "velocity-spark-v1"
     max_num_records: int | None = None
-    mode: str = "native"
+    mode: str = "event_time"
     smoke_mode: bool = False
 
     def __post_init__(self) -> None:
@@ -52,8 +52,8 @@ class PipelineConfig:
             value = getattr(self, name)
             if not isinstance(value, str) or not value.strip():
                 raise ValueError(f"{name} must be a non-empty string")
-        if self.mode not in ("bounded", "native", "event_time"):
-            raise ValueError("mode must be one of: bounded, event_time, native")
+        if self.mode not in ("bounded", "event_time"):
+            raise ValueError("mode must be one of: bounded, event_time")
         if not isinstance(self.smoke_mode, bool):
             raise TypeError("smoke_mode must be a boolean")
         n = self.max_num_records
@@ -68,7 +68,7 @@ def parse_args(argv: Sequence[str] | None = None) -> tuple[argparse.Namespace, d
     for name in ("bootstrap_servers", "input_topic", "alert_topic", "invalid_topic", "consumer_group"):
         parser.add_argument("--" + name.replace("_", "-"), default=getattr(d, name))
     parser.add_argument("--max-num-records", type=int)
-    parser.add_argument("--mode", default=d.mode, choices=("bounded", "event_time", "native"))
+    parser.add_argument("--mode", default=d.mode, choices=("bounded", "event_time"))
     parser.add_argument("--smoke-mode", action="store_true")
     args, rest = parser.parse_known_args(argv)
     settings: dict[str, str] = {}

@@ -93,7 +93,7 @@ class PaneProcessor(StatefulProcessor):
 
 
 def panes(events: DataFrame, policy: WindowPolicy = WindowPolicy()) -> DataFrame:
-    """A streaming frame of panes (output mode update). Needs the RocksDB state store."""
+    """A streaming frame of panes (output mode update). Needs the RocksDB state store, which the session uses from here on."""
     delay = policy.size_seconds + policy.allowed_lateness_seconds + 1
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     windowed = with_bounds(assign_windows(events.withWatermark("event_ts", f"{delay} seconds"), policy)).select("customer_id", "window_start_ms", "event_id", "amount", "partition", "offset", "event_ts")

@@ -1,4 +1,4 @@
-"""The pipeline's entry point: python -m tidegauge.streaming.runner --mode native --bootstrap-servers ..."""
+"""The pipeline's entry point: python -m tidegauge.streaming.runner --mode event_time --bootstrap-servers ..."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.serde import alert_records, invalid_records
 from ..operators.ingest import invalid_events, valid_events, validated
@@ -14,12 +13,6 @@ from ..operators.velocity import create_velocity_alerts, velocity
 from ..plans.config import PipelineConfig, WindowPolicy, config_of, parse_args
 from ..sources.envelope import first_records, kafka_read_options, kafka_write_options, read_envelope, write_records
 from . import native
-from .panes import panes
-
-
-def metrics(rows: DataFrame) -> DataFrame:
-    """Counters valid_records and invalid_records, reported with each batch of the query."""
-    return rows.observe("records", F.count_if(F.size("errors") == 0).alias("valid_records"), F.count_if(F.size("errors") > 0).alias("invalid_records"))
 
 
 def run_bounded(envelope: DataFrame, policy: WindowPolicy = WindowPolicy()) -> tuple[DataFrame, DataFrame]:
@@ -35,14 +28,9 @@ def start(spark: SparkSession, config: PipelineConfig, checkpoint: str, policy:
     to = {topic: kafka_write_options(config.bootstrap_servers, topic) for topic in (config.alert_topic, config.invalid_topic)}
     write = lambda topic: lambda batch, n: write_records(batch, "kafka", topic, **{k: v for k, v in to[topic].items() if k != "topic"})
     envelope = read_envelope(spark, "kafka", streaming=True, **source)
-    events = native.events_of(envelope)
-    if config.mode == "event_time":
-        alerts = create_velocity_alerts(panes(events, policy))
-        writer = alerts.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/alerts").foreachBatch(lambda batch, n: write(config.alert_topic)(alert_records(batch), n))
-        query = writer.trigger(processingTime=f"{policy.early_firing_delay_seconds} seconds").start()
-    else:
-        query = native.start_alerts(events, write(config.alert_topic), f"{checkpoint}/alerts", policy)
-    return [query, native.start_invalid(envelope, write(config.invalid_topic), f"{checkpoint}/invalid")]
+    spark.streams.addListener(native.Counters())
+    alerts = native.start_alerts(native.events_of(envelope), write(config.alert_topic), f"{checkpoint}/alerts", policy)
+    return [alerts, native.start_invalid(envelope, write(config.invalid_topic), f"{checkpoint}/invalid")]
 
 
 def main(argv: Sequence[str] | None = None) -> int:
