@@ -1,6 +1,7 @@
 """Each operator against a plain version, over rows with every oddity at once, and over an empty table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -82,6 +83,31 @@ def test_ngram_join(odd):
     assert bag(ngram_join.jaccard_components(odd).collect()) == want
 
 
+@pytest.mark.parametrize("dealt_from", [3, 1 << 17])
+def test_ngram_join_in_blocks(spark, dealt_from):
+    """Tiles of many blocks, and tiles dealt over tasks, of which components join only some rows."""
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = common[:]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(words[: rng.randint(20, 60)]))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    link = [(a, b) for a in range(150) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = list(range(150))
+    for a, b in link:
+        low, high = sorted((label[a], label[b]))
+        label = [low if v == high else v for v in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = ngram_join.jaccard_components(docs, tile_rows=4, dealt_from=dealt_from)
+    assert bag(got.collect()) == Counter((i, len(s), label[i]) for i, s in enumerate(sets)) and len(set(label)) > 5
+    rows, pairs = ngram_join.jaccard_links(docs, tile_rows=4, dealt_from=dealt_from)
+    assert pairs.count() == len({frozenset((sets[a], sets[b])) for a, b in link if sets[a] != sets[b]})
+    assert {r.doc_id: r.n_links for r in rows.collect()} == {i: sum(i in p for p in link) for i in range(150)}
+
+
 def test_near_dedup_keeps_one(odd):
     out = ngram_join.near_dedup(odd)
     assert out.columns == odd.columns

@@ -12,6 +12,10 @@ the tiles in which several components still meet, and compares all pairs across
 link. So no link between components is lost, and large groups of near copies cost one comparison a member
 and tile band instead of all pairs.
 
+No task holds a whole tile. Round one streams it and remembers only the first rows of its bands. Tiles of shingles that
+very many texts have are dealt over several tasks, whose first rows then meet in bands of their own. Round two
+cuts tiles into blocks of ``TILE_ROWS`` rows and compares each pair of blocks as a unit.
+
 "Frequent" is found by counting every text's shingles in stretches of about four million, where those found twice are counted; any choice gives
 the same links, so its table is bounded (``MAX_HOT``). Sets are made anew only for texts in pairs that the
 bound leaves, told by a bounded Bloom filter.
@@ -48,6 +52,9 @@ PERCENT = 80
 HOT_FROM = 6
 MAX_HOT = 1 << 21
 STRETCH = 1 << 22
+#: Rows of a tile that are compared as a block, and texts with a shingle from which on its tile is dealt over several tasks.
+TILE_ROWS = 1 << 14
+DEALT_FROM = 1 << 17
 MOST_BITS = 1 << 15
 MAX_FILTER_BYTES = 32 << 20
 #: Rows to drop are broadcast up to this number, and joined by shuffle beyond it.
@@ -175,8 +182,8 @@ def _counted(width: int):
     return run
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of at most MAX_HOT of the most frequent shingles."""
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most MAX_HOT of the most frequent shingles, and how many texts have each."""
     counts = durable(texts.mapInArrow(_counted(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM), "frequent")
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = None, 0
@@ -186,9 +193,11 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
             break
         least = r.level
     if least is None:
-        return np.zeros(0, np.uint64)
-    found = counts.where(level >= least).select("key").toArrow().column("key").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(level >= least).select("key", "n").toArrow()
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy().astype(np.int64)[order]
 
 
 def _sketched(told, width: int):
@@ -221,18 +230,31 @@ def _sketched(told, width: int):
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rep, n, rare = (c.to_numpy() for c in batch.columns[:3])
-        keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
-        size = np.array([len(k) for k in keys], np.int64)
-        ends = np.cumsum(size)
-        cut = [0, *np.flatnonzero(np.diff(ends // (1 << 16), prepend=0)).tolist(), len(keys)]
-        for a, b in zip(cut, cut[1:]):
-            if b > a:
-                many = size[a:b]
-                place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys[a:b]), np.repeat(rare[a:b], many), np.repeat(rep[a:b], many), np.repeat(n[a:b], many), place)], names=["key", "rare", "rep", "n", "place"])
+def _exploded(dealt):
+    """A row for each shingle of a prefix. dealt: sorted shingles whose tiles are dealt, and over how many tasks each; other rows have the deal -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, tasks = dealt.value
+        for batch in batches:
+            rep, n, rare = (c.to_numpy() for c in batch.columns[:3])
+            keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            size = np.array([len(k) for k in keys], np.int64)
+            ends = np.cumsum(size)
+            cut = [0, *np.flatnonzero(np.diff(ends // (1 << 16), prepend=0)).tolist(), len(keys)]
+            for a, b in zip(cut, cut[1:]):
+                if b > a:
+                    times = size[a:b]
+                    place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    key, own = np.concatenate(keys[a:b]), np.repeat(rep[a:b], times)
+                    deal = np.full(len(key), -1, np.int64)
+                    if len(many):
+                        at = np.searchsorted(many, key)
+                        at[at == len(many)] = 0
+                        hit = np.flatnonzero(many[at] == key)
+                        deal[hit] = (mix64(own[hit].view(np.uint64)) % tasks[at[hit]].astype(np.uint64)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, deal, np.repeat(rare[a:b], times), own, np.repeat(n[a:b], times), place)], names=["key", "deal", "rare", "rep", "n", "place"])
+
+    return run
 
 
 def may_link(n_a: np.ndarray, at_a: np.ndarray, n_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
@@ -256,36 +278,88 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """Columns as arrays, in stretches that end where a tile (its key and deal, the first two columns) ends or has most rows or more; and how many rows of the first tile came before."""
+    held: list[list[np.ndarray]] = []
+    size, tile, before = 0, None, 0
+
+    def joined(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], int]:
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        return cols, before if (cols[0][0], cols[1][0]) == tile else 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
+            yield joined([*held, [c[:last] for c in cols]])
+            held, size = [], 0
+        held.append([c[last:] for c in cols])
+        size += len(held[-1][0])
+        if size >= most:
+            out, before = joined(held)
+            yield out, before
+            tile, before = (out[0][-1], out[1][-1]), before + len(out[0])
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def _led(n: np.ndarray, rep: np.ndarray, place: np.ndarray, leads: list[tuple]) -> np.ndarray:
+    """Which of the leads (n, rep, place) each row of a tile has; rows outside all their bands become leads. Sizes of leads differ by more than a band, so they are few."""
+    out = np.full(len(n), -1)
+    for i, lead in enumerate(leads):
+        out[(out < 0) & (PERCENT * n <= 100 * lead[0]) & (PERCENT * lead[0] <= 100 * n)] = i
+    while (out < 0).any():
+        first = int(np.argmax(out < 0))
+        leads.append((n[first], rep[first], place[first]))
+        out[(out < 0) & (PERCENT * n <= 100 * n[first]) & (PERCENT * n[first] <= 100 * n)] = len(leads) - 1
+    return out
+
+
+def _bands(most: int):
     """Tiles of at least two rows, each row with the first of its band. Rows come by the number of shingles that are not frequent, so the one that has least of its own leads."""
-    for key, rare, rep, n, place in _whole_runs(batches):
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        lead = np.repeat(begin, size)
-        least, most = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin)
-        for i in np.flatnonzero((PERCENT * most > 100 * n[begin]) | (PERCENT * n[begin] > 100 * least)):  # tiles of several bands
-            left = np.arange(begin[i], begin[i] + size[i])
-            while len(left):
-                first = n[left[0]]
-                own = (PERCENT * n[left] <= 100 * first) & (PERCENT * first <= 100 * n[left])
-                lead[left[own]] = left[0]
-                left = left[~own]
-        keep = np.repeat(size > 1, size)
-        tried = may_link(n, place, n[lead], place[lead])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rep, n, place, rep[lead], tried)], names=["key", "rep", "n", "place", "lead", "tried"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads: list[tuple] = []
+        for (key, deal, rare, rep, n, place), before in _stretches(batches, most):
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])]))
+            size = np.diff(np.append(begin, len(key)))
+            lead = np.repeat(begin, size)
+            lead_n, lead_rep, lead_place = n[lead], rep[lead], place[lead]
+            least, most_n = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin)
+            several = (PERCENT * most_n > 100 * n[begin]) | (PERCENT * n[begin] > 100 * least)  # tiles of several bands
+            several[-1] = True  # may go on in the next stretch
+            several[0] |= before > 0
+            for i in np.flatnonzero(several):
+                if i or not before:
+                    leads = []
+                own = slice(begin[i], begin[i] + size[i])
+                at = _led(n[own], rep[own], place[own], leads)
+                lead_n[own], lead_rep[own], lead_place[own] = (np.array(x)[at] for x in zip(*leads))
+            earlier = np.zeros(len(size), np.int64)
+            earlier[0] = before
+            block = (np.arange(len(key)) - lead + np.repeat(earlier, size)) // most + (np.maximum(deal, 0) << 32)
+            keep = np.repeat((size > 1) | (earlier > 0), size) | (deal >= 0)
+            tried = may_link(n, place, lead_n, lead_place)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, deal, block, rep, n, place, lead_rep, tried)], names=["key", "deal", "block", "rep", "n", "place", "lead", "tried"])
+
+    return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's rows in different components that may link, but for those of round one."""
-    for key, n, rep, place, lead, comp in _whole_runs(batches):
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        for i, j in zip(begin, np.append(begin[1:], len(key))):
+    """Pairs of rows of a unit (one block, side 0, or two, sides 1 and 2) in different components that may link, but for those of round one and of one side of two."""
+    for unit, side, n, rep, place, lead, comp in _whole_runs(batches):
+        begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        for i, j in zip(begin, np.append(begin[1:], len(unit))):
             if (comp[i:j] == comp[i]).all():
                 continue
             for k in range(i, j - 1):  # sorted by n: partners of k end where sizes no longer allow a link
                 end = i + int(np.searchsorted(n[i:j], 100 * n[k] / PERCENT, side="right"))
                 other = np.arange(k + 1, end)
-                other = other[(comp[other] != comp[k]) & (lead[other] != rep[k]) & (lead[k] != rep[other]) & may_link(n[k], place[k], n[other], place[other])]
+                other = other[(comp[other] != comp[k]) & (lead[other] != rep[k]) & (lead[k] != rep[other]) & may_link(n[k], place[k], n[other], place[other]) & ((side[other] != side[k]) | (side[k] == 0))]
                 if len(other):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[k], rep[other])), pa.array(np.maximum(rep[k], rep[other]))], names=["a", "b"])
 
@@ -327,10 +401,14 @@ def _sets(told, width: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int):
-        self.width, self.spark = width, ready(docs)
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, tile_rows: int, dealt_from: int):
+        self.width, self.tile_rows, self.spark = width, tile_rows, ready(docs)
         self.docs = docs.select(*pick(docs, doc_id, text)).toDF("doc_id", "text")
-        hot = self.spark.sparkContext.broadcast(frequent_shingles(self.docs.select("text"), width))
+        keys, times = frequent_shingles(self.docs.select("text"), width)
+        hot = self.spark.sparkContext.broadcast(keys)
+        many, tasks = keys[times >= dealt_from].view(np.int64), -(-times[times >= dealt_from] // dealt_from) + 1
+        order = np.argsort(many)
+        self.dealt = self.spark.sparkContext.broadcast((many[order], tasks[order]))
         kind = docs.schema[doc_id].dataType.simpleString()
         given = self.docs.select("doc_id", F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("uid"), "text")
         self.table = durable(given.mapInArrow(_sketched(hot, width), f"doc_id {kind}, row long, uid long, n long, cls binary, prefix binary, bits binary, rare long"), "sketches")
@@ -354,20 +432,38 @@ class _Join:
         full = left.join(own.withColumnRenamed("own", "own_b"), left.b == own.rep).drop("rep").join(own.withColumnRenamed("own", "own_a"), F.col("a") == F.col("rep")).select("a", "b", "own_a", "own_b")
         return durable(full.mapInArrow(_decided, "a long, b long"), "links")
 
+    def _banded(self, rows: DataFrame) -> DataFrame:
+        types = "key long, deal long, block long, rep long, n long, place long, lead long, tried boolean"
+        return rows.repartition("key", "deal").sortWithinPartitions("key", "deal", "rare", "n", "rep").mapInArrow(_bands(self.tile_rows), types)
+
     def tiles(self) -> DataFrame:
-        """Rows of tiles: key, rep, n, place, the first of the row's band (lead), and whether the two may link (tried)."""
+        """Rows of tiles: key, deal, block, rep, n, place, the first of the row's band (lead), and whether the two may link (tried)."""
         one = self.table.where("prefix is not null").groupBy("cls").agg(F.min_by(F.struct("n", "rare", "prefix"), "uid").alias("x"))
         rows = one.join(self.classes.select("cls", "rep"), "cls").select("rep", "x.n", "x.rare", "x.prefix")
-        postings = rows.mapInArrow(_exploded, "key long, rare long, rep long, n long, place long")
-        return durable(postings.repartition("key").sortWithinPartitions("key", "rare", "n", "rep").mapInArrow(_bands, "key long, rep long, n long, place long, lead long, tried boolean"), "tiles")
+        postings = rows.mapInArrow(_exploded(self.dealt), "key long, deal long, rare long, rep long, n long, place long")
+        return durable(self._banded(postings), "tiles")
 
     def first_round(self, tiles: DataFrame) -> DataFrame:
-        return self.decided(tiles.where("tried and rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+        tried = tiles
+        if len(self.dealt.value[0]):  # the first rows of a dealt tile's parts meet in bands of their own
+            firsts = tiles.where("deal >= 0 and rep = lead").select("key", F.lit(-1).cast("long").alias("deal"), F.lit(0).cast("long").alias("rare"), "rep", "n", "place")
+            tried = tried.unionByName(self._banded(firsts))
+        return self.decided(tried.where("tried and rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
 
     def second_round(self, rows: DataFrame) -> DataFrame:
         """Links between rows of different comp, but for those of the first round. rows: those of tiles, with comp."""
-        given = rows.select("key", "n", "rep", "place", F.when(F.col("tried"), F.col("lead")).otherwise(-1).alias("lead"), "comp")
-        return self.decided(given.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_across, "a long, b long").distinct())
+        given = rows.select("key", "block", "n", "rep", "place", F.when(F.col("tried"), F.col("lead")).otherwise(-1).alias("lead"), "comp")
+        told = ("n", "rep", "place", "lead", "comp")
+        units = given.select(F.col("key").alias("unit"), F.lit(0).alias("side"), *told)
+        large = durable(rows.where("block > 0").select("key").distinct(), "large")
+        if not large.isEmpty():
+            # tiles of several blocks in which several components meet: a row goes to each pair of blocks that has its own
+            blocks = given.join(large, "key").groupBy("key").agg(F.collect_set("block").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            pairs = given.join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("other", F.explode("blocks"))
+            side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+            unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+            units = given.join(large, "key", "left_anti").select(*units.columns[2:], F.col("key").alias("unit"), F.lit(0).alias("side")).unionByName(pairs.select(unit.alias("unit"), side.alias("side"), *told))
+        return self.decided(units.select("unit", "side", *told).repartition("unit").sortWithinPartitions("unit", "n", "rep").mapInArrow(_across, "a long, b long").distinct())
 
     def components(self) -> DataFrame:
         """node and label of the classes (rep) that link with others."""
@@ -397,9 +493,9 @@ def _labelled(join: _Join) -> DataFrame:
     return durable(join.classes.join(found, F.col("rep") == F.col("node"), "left").select("cls", "first_doc", "times", F.coalesce("label", "rep").alias("label")), "labels")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, tile_rows: int = TILE_ROWS, dealt_from: int = DEALT_FROM) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id it can reach) of each row."""
-    join = _Join(docs, doc_id, text, width)
+    join = _Join(docs, doc_id, text, width, tile_rows, dealt_from)
     named = _labelled(join)
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of = durable(named.join(least, "label").select("cls", "times", "component_id"), "of")
@@ -407,9 +503,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return some.unionByName(join.empty().select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, tile_rows: int = TILE_ROWS, dealt_from: int = DEALT_FROM) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, class_id, n_links: how many other rows link with it), and all links between different classes (class_a, class_b)."""
-    join = _Join(docs, doc_id, text, width)
+    join = _Join(docs, doc_id, text, width, tile_rows, dealt_from)
     side = join.classes.select("rep", "cls", "times")
     pairs = join.links()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -422,9 +518,9 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return rows, pairs.join(ends[0], "a").join(ends[1], "b").select("class_a", "class_b")
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, tile_rows: int = TILE_ROWS, dealt_from: int = DEALT_FROM) -> DataFrame:
     """The documents, all columns kept, but one of each component: the row with the smallest doc_id (null ids last). Texts without words all stay."""
-    join = _Join(docs, doc_id, text, width)
+    join = _Join(docs, doc_id, text, width, tile_rows, dealt_from)
     rows = join.with_classes(_labelled(join).select("cls", "times", "label"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     rows = durable(rows.groupBy("label", "doc_id", "row").agg(F.count(F.lit(1)).alias("times")), "rows")
