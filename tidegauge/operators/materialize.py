@@ -9,6 +9,8 @@ nothing. Everything goes through Hadoop's file system, so root may be any store.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,21 +116,29 @@ class AlertView:
         return self.snapshot().orderBy("idempotency_key")
 
     def upsert(self, alerts: DataFrame) -> int:
-        """Take in decoded alerts; the number that raised a revision. Only buckets with such keys are read and written."""
-        alerts = alerts.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int")).persist()
+        """Take in decoded alerts; the number that raised a revision. Only buckets with such keys are read and written.
+
+        The alerts are written beside the view first, so that what makes them (a stream's stateful step, most often) runs once.
+        """
+        for name in self._names():
+            if name.startswith(".batch-"):  # of a writer that has crashed
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        at = f"{self.root}/.batch-{uuid.uuid4().hex}"
         try:
+            rows = alerts.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int"))
+            rows.write.parquet(at)
+            alerts = self.spark.read.schema(rows.schema).parquet(at)
             n = self.version()
             manifest = self._manifest(n)
             touched = {r.bucket for r in alerts.select("bucket").distinct().collect()}  # at most buckets
-            higher = raised(alerts, self._read({b: v for b, v in manifest.items() if b in touched})).persist()
+            higher = raised(alerts, self._read({b: v for b, v in manifest.items() if b in touched}))
             hit = F.pmod(F.xxhash64("idempotency_key"), F.lit(self.buckets)).cast("int")
             counts = {r.bucket: r.n for r in higher.groupBy(hit.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
-            higher.unpersist()
             if counts:
                 self._commit(n, manifest, alerts, sorted(counts))
             return sum(counts.values())
         finally:
-            alerts.unpersist()
+            self._fs.delete(self._path(at), True)
 
     def _commit(self, n: int, manifest: dict[int, int], alerts: DataFrame, buckets: list[int]) -> None:
         before = self._read({b: v for b, v in manifest.items() if b in set(buckets)})
