@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -317,6 +318,18 @@ def test_mixed_repeats_documents(odd):
 # packing
 
 
+def test_word_ids_are_the_tokenizer_s():
+    """Words of letters and marks take a shorter way, unless a letter's lower case would join the marks."""
+    from tokenizers import Tokenizer
+
+    with open(VOCABULARY, "rb") as f:
+        told = f.read()
+    texts = ["Word, word... caf\u00e9$$$ it's x'll abc'! \u00c9t\u00e9?! na\u00efve### 12ab. ab12, <|endoftext|>. \u017fo; \u01c5a! \u03a3\u03a3. caf\u0065\u0301. a_b_ \u00aa\u00ba)", "XYa\u0130. \u0130>{ a\u0130b!", "a=\u0338 ... ,"]
+    tokenizer = Tokenizer.from_str(told.decode())
+    assert [np.frombuffer(x, "<u4").tolist() for _, x in packing.document_ids(pa.array(texts), told)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert packing.WordIds(told).lean is not None
+
+
 def test_packing(odd):
     tok = Tokenizer.from_file(VOCABULARY)
     ids = defaultdict(list)

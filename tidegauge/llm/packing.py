@@ -17,6 +17,7 @@ packed like any row; very long texts become many pieces; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -39,6 +40,22 @@ WORDS_HELD = 400_000
 CHUNK = 1 << 20
 #: Letters whose lower case may depend on those beside them, or be several.
 BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
+#: Marks that, behind letters, are one token's text apart from them; an apostrophe may begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def lean(told: dict):
+    """The tokenizer of a file's text for words of lower-case letters below U+0180 only, parted by spaces: its steps before the model leave these as they are, so they are left out, and so is the model's cache of words. None for files with other steps."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    steps = [[x["type"] for x in (told[k] or {}).get(k + "s" if k == "normalizer" else "pretokenizers", [])] for k in ("normalizer", "pre_tokenizer")]
+    model = told["model"]
+    if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or model["type"] != "BPE" or model["dropout"] or model.get("ignore_merges") or model["unk_token"] or model["byte_fallback"] or model["continuing_subword_prefix"] or not model["end_of_word_suffix"]:
+        return None
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    made = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return made
 
 
 class WordIds:
@@ -49,6 +66,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(told.decode())
+        self.lean = lean(json.loads(told)) or self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -58,13 +76,16 @@ class WordIds:
     def encode(self, forms: list[str]) -> None:
         """Learn forms: those of letters only are one word of the tokenizer each, so many go through it as one text, and end marks part them again."""
         letters = [x for x in forms if x.isalpha()]
-        for k in range(0, len(letters), 4096):
-            part = letters[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                data, at = ids.tobytes(), (4 * cut).tolist()
-                self.plain.update(zip(part, [data[x:y] for x, y in zip([0, *at], at)]))
+        beyond = {x for x in letters if BEYOND.search(x)} if BEYOND.search(" ".join(letters)) else set()
+        for coder, words in ((self.lean, [x for x in letters if x not in beyond] if beyond else letters), (self.tokenizer, list(beyond))):
+            for k in range(0, len(words), 4096):
+                part = words[k : k + 4096]
+                texts = [" ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
+                ids = np.array([x for e in coder.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], "<u4")
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) == len(part):
+                    data, at = ids.tobytes(), (4 * cut).tolist()
+                    self.plain.update(zip(part, [data[x:y] for x, y in zip([0, *at], at)]))
         rest = [x for x in forms if x not in self.plain]
         for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.plain[x] = np.array(e.ids, "<u4").tobytes()
@@ -72,7 +93,7 @@ class WordIds:
     def learn(self, words: list[list[bytes]]) -> None:
         every = set().union(*words)
         of = self.of
-        new = [w for w in every if w not in of]
+        new = list(every.difference(of))
         if len(of) + len(new) > WORDS_HELD:
             of.clear()
             self.plain = {"": b""}
@@ -80,14 +101,15 @@ class WordIds:
         if not new:
             return
         forms = b"\n".join(new).decode()
-        # letters before one final stop or comma are tokens apart from it, and letters below U+0180 lower one by one
+        # letters before marks are tokens apart from them, and letters below U+0180 lower one by one
         low = forms.lower().split("\n")
         if not forms.isascii() and BEYOND.search(forms):
             low = [f if BEYOND.search(f) else x for x, f in zip(low, forms.split("\n"))]
-        bodies = [x[:-1] if x[-1] in ".," and x[:-1].isalpha() else x for x in low]
+        bodies = [x if x.isalpha() else b if (b := x.rstrip(MARKS)).isalpha() and "\u0130" not in b else x for x in low]  # that letter's lower case ends in a mark
+        tails = {x[len(b) :] for x, b in zip(low, bodies) if len(x) != len(b)}
         plain = self.plain
-        self.encode(list({x for x in (*bodies, ".", ",") if x not in plain}))
-        of.update((w, plain[x] if len(x) == len(y) else plain[x] + plain[y[-1]]) for w, x, y in zip(new, bodies, low))
+        self.encode(list({x for x in (*bodies, *tails) if x not in plain}))
+        of.update([(w, plain[b] if len(x) == len(b) else plain[b] + plain[x[len(b) :]]) for w, b, x in zip(new, bodies, low)])
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
